@@ -158,10 +158,10 @@ unit AS MATERIALIZED (SELECT {k}, entity, method, raw,
     CASE WHEN max(up) OVER g - min(up) OVER g < 1e-12 THEN 0.5::DOUBLE
       ELSE (up - min(up) OVER g) / (max(up) OVER g - min(up) OVER g) END AS score
   FROM raws WINDOW g AS (PARTITION BY {k}, method)),
-scores AS MATERIALIZED (SELECT u.*, coalesce(c.weight, 0) AS criterion_weight,
-    CASE WHEN method = 'base' THEN {min_rank("score", k + ", method")}
-      ELSE {trunc_rank("score", k + ", method")} END AS rank
-  FROM unit u LEFT JOIN cw c ON c.criterion = u.criterion AND c.fit = {fit.replace("a.", "u.")})"""
+ranked AS (SELECT *, CASE WHEN method = 'base' THEN {min_rank("score", k + ", method")}
+      ELSE {trunc_rank("score", k + ", method")} END AS rank FROM unit),
+scores AS MATERIALIZED (SELECT u.*, coalesce(c.weight, 0) AS criterion_weight
+  FROM ranked u LEFT JOIN cw c ON c.criterion = u.criterion AND c.fit = {fit.replace("a.", "u.")})"""
 
 
 COMPOSITE = """per AS (SELECT period, entity, criterion, avg(score) AS m, any_value(criterion_weight) AS w FROM scores GROUP BY ALL),

@@ -32,6 +32,12 @@ class Preference:
     sigma: float = 0.2
 
 
+def _grid(x: Column) -> Column:
+    """Scaled values on a 1e-11 grid, so that a difference equal to a threshold is
+    equal in every engine and not decided by the last bit."""
+    return F.round(x, 11)
+
+
 def _shifts(pref: Preference) -> list[float]:
     return {
         "usual": [0.0],
@@ -104,7 +110,7 @@ def value_flows(
     names: dict[tuple[str, float], str] = {}
     points = []
     for i, s in enumerate(shifts):
-        for side, at in (("plus", F.col("x") - s), ("minus", F.col("x") + s)):
+        for side, at in (("plus", _grid(F.col("x") - s)), ("minus", _grid(F.col("x") + s))):
             names[(side, s)] = f"{side}{i}"
             points.append(F.struct(at.alias("key"), F.lit(f"{side}{i}").alias("probe")))
     probe = counts.select(*group, "x", F.inline(F.array(*points)))
@@ -171,7 +177,7 @@ def flows(
     by = list(by)
     if not by:
         return flows(scaled.withColumn("_all", F.lit(0)), ["_all"], entity, preferences, limit).drop("_all")
-    rows = settle(scaled.where(F.col("x").isNotNull()))
+    rows = settle(scaled.where(F.col("x").isNotNull()).withColumn("x", _grid(F.col("x"))))
     kinds: dict[Preference, list[str] | None] = {}
     if isinstance(preferences, Preference):
         kinds[preferences] = None

@@ -18,14 +18,12 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def normal(df: pd.DataFrame) -> pd.DataFrame:
-    df = df[sorted(df.columns)].copy()
-    for c in df.columns:
-        if pd.api.types.is_float_dtype(df[c]):
-            df[c] = df[c].astype(float)
-        elif pd.api.types.is_integer_dtype(df[c]) or pd.api.types.is_bool_dtype(df[c]):
-            df[c] = df[c].astype(object)
-        df[c] = df[c].map(lambda v: None if v is None or v != v else v).astype(object)
-    keys = df.map(lambda v: ("" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v)))
+    out = {}
+    for c in sorted(df.columns):
+        cells = [None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) or v is pd.NA else v for v in df[c].tolist()]
+        out[c] = pd.Series([float(v) if isinstance(v, float) else v for v in cells], dtype=object)
+    df = pd.DataFrame(out, dtype=object)
+    keys = df.map(lambda v: ("" if v is None else f"{v:.5f}" if isinstance(v, float) else str(v)))
     return df.loc[keys.sort_values(list(df.columns)).index].reset_index(drop=True)
 
 
