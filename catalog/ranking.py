@@ -76,18 +76,18 @@ LEFT JOIN cw c ON c.fit = f.fit AND c.criterion = h.criterion"""
 @query("two_level_weights", f"{POOLED} {ALL_GW}")
 def two_level_weights(spark, folder):
     """Local, criterion and global weights over all periods."""
-    return C.two_level_weights(supplier_panel(spark, folder)).long()
+    return C.two_level_weights(panel_of(spark, folder)).long()
 
 
 @query("two_level_weights_by_period", f"{YEARLY} {ALL_GW}")
 def two_level_weights_by_period(spark, folder):
     """The same for every period in one job; inactive indicators weigh 0."""
-    return C.two_level_weights(supplier_panel(spark, folder), per_period=True).long()
+    return C.two_level_weights(panel_of(spark, folder), per_period=True).long()
 
 
 @query("local_weights", f"""{POOLED} SELECT criterion, indicator, {r("local_weight")} AS local_weight FROM local""")
 def local_weights(spark, folder):
-    w = C.two_level_weights(supplier_panel(spark, folder))
+    w = C.two_level_weights(panel_of(spark, folder))
     return w.long().select("criterion", "indicator", "local_weight")
 
 
@@ -95,7 +95,7 @@ def local_weights(spark, folder):
   {", ".join(f"{r(f"max(value) FILTER (WHERE criterion = '{k}')")} AS {k}" for k in CRITERIA)} FROM z GROUP BY id""")
 def criterion_composites(spark, folder):
     """Criterion scores with weights renormalised over the indicators present."""
-    w = C.two_level_weights(supplier_panel(spark, folder))
+    w = C.two_level_weights(panel_of(spark, folder))
     h = w.hierarchy
     rows = w.rows.join(w.local, C.FIT)
     cols = [C.composite(h.groups[k], lambda c: F.col(f"local_{c}")).alias(k) for k in h.criteria]
@@ -109,13 +109,13 @@ REGIME = "concat(" + ", ".join(f"CASE WHEN regime LIKE '%{k}%' THEN '1' ELSE '0'
   {", ".join(f"{r(f"coalesce(max(weight) FILTER (WHERE item = '{k}'), 0)")} AS crit_{k}" for k in CRITERIA)} FROM l2 GROUP BY regime""")
 def regime_weights(spark, folder):
     """Criterion weights per missing-data regime."""
-    return C.two_level_weights(supplier_panel(spark, folder)).regimes.drop(C.FIT)
+    return C.two_level_weights(panel_of(spark, folder)).regimes.drop(C.FIT)
 
 
 @query("criterion_weights_by_period", f"""{YEARLY} SELECT f.fit::BIGINT AS fit, k.criterion, {r("coalesce(weight, 0)")} AS weight
 FROM (SELECT DISTINCT fit FROM cw) f CROSS JOIN (SELECT DISTINCT criterion FROM hier) k LEFT JOIN cw USING (fit, criterion)""")
 def criterion_weights_by_period(spark, folder):
-    return C.two_level_weights(supplier_panel(spark, folder), per_period=True).criteria_long()
+    return C.two_level_weights(panel_of(spark, folder), per_period=True).criteria_long()
 
 
 ADAPT = f"""WITH {long()},

@@ -131,7 +131,10 @@ def avg_rank(value: str, part: str, desc: bool = True) -> str:
     return f"(rank() OVER ({order}) + (count(*) OVER (PARTITION BY {part}, {value}) - 1) / 2.0::DOUBLE)"
 
 
-def scores(per_period: bool = False) -> str:
+FIVE = ["topsis", "vikor", "copras", "edas", "base"]
+
+
+def scores(per_period: bool = False, flows: bool = True) -> str:
     """CTEs up to ``scores(period, criterion, entity, method, raw, score, criterion_weight, rank)``."""
     fit = "a.period" if per_period else "0"
     k = "period, criterion"
@@ -146,11 +149,11 @@ x AS MATERIALIZED (SELECT o.period, o.criterion, o.entity, o.indicator, o.value,
       ELSE (o.value - min(o.value) OVER g) / (max(o.value) OVER g - min(o.value) OVER g) END AS x
   FROM obs o JOIN cases c USING (period, criterion, entity) JOIN share s USING (period, criterion, indicator)
   WINDOW g AS (PARTITION BY o.period, o.criterion, o.indicator)),
-{methods("x", k)},
+{methods("x", k, flows)},
 raws AS (
   SELECT {k}, entity, 'topsis' AS method, score AS raw, score AS up FROM topsis UNION ALL
   SELECT {k}, entity, 'vikor', q, -q FROM vikor UNION ALL
-  SELECT {k}, entity, 'promethee', phi, phi FROM promethee UNION ALL
+  {f"SELECT {k}, entity, 'promethee', phi, phi FROM promethee UNION ALL" if flows else ""}
   SELECT {k}, entity, 'copras', utility, utility FROM copras UNION ALL
   SELECT {k}, entity, 'edas', score, score FROM edas UNION ALL
   SELECT {k}, entity, 'base', sum(value), sum(value) FROM x GROUP BY {k}, entity),
@@ -169,9 +172,9 @@ comp AS MATERIALIZED (SELECT period, entity, sum(m * w) AS composite, sum(m * w)
   count(*) FILTER (WHERE w > 0) AS n_criteria FROM per GROUP BY ALL)"""
 
 
-def methods(x: str, k: str, cost: bool = False) -> str:
+def methods(x: str, k: str, flows: bool = True) -> str:
     """Benefit-only methods on long ``x(keys, entity, indicator, x, w)``; all pairs for the flows."""
-    on = " AND ".join(f"a.{c} = b.{c}" for c in k.split(", "))
+    pairs = pair_flows(x, k, "promethee", "least((a.x - b.x) / 0.3, 1)") + "," if flows else ""
     return f"""t0 AS (SELECT *, x / CASE WHEN sqrt(sum(x * x) OVER g) = 0 THEN 1 ELSE sqrt(sum(x * x) OVER g) END * w AS v
   FROM {x} WINDOW g AS (PARTITION BY {k}, indicator)),
 t1 AS (SELECT *, max(v) OVER g AS hi, min(v) OVER g AS lo FROM t0 WINDOW g AS (PARTITION BY {k}, indicator)),
@@ -183,7 +186,7 @@ v1 AS (SELECT {k}, entity, sum(regret) AS s, greatest(0, max(regret)) AS r FROM
 vikor AS MATERIALIZED (SELECT *, 0.5 * (s - min(s) OVER g) / CASE WHEN max(s) OVER g = min(s) OVER g THEN 1e-10 ELSE max(s) OVER g - min(s) OVER g END
     + 0.5 * (r - min(r) OVER g) / CASE WHEN max(r) OVER g = min(r) OVER g THEN 1e-10 ELSE max(r) OVER g - min(r) OVER g END AS q
   FROM v1 WINDOW g AS (PARTITION BY {k})),
-{pair_flows(x, k, "promethee", "least((a.x - b.x) / 0.3, 1)")},
+{pairs}
 c0 AS (SELECT *, w * CASE WHEN abs(sum(x) OVER g) > 0 THEN x / abs(sum(x) OVER g) ELSE 1.0::DOUBLE / count(*) OVER g END AS v
   FROM {x} WINDOW g AS (PARTITION BY {k}, indicator)),
 c1 AS (SELECT {k}, entity, sum(v) AS q FROM c0 GROUP BY {k}, entity),

@@ -210,10 +210,12 @@ def composite(columns: Sequence[str], weight) -> Column:
 
 def two_level_weights(panel: Panel, per_period: bool = False) -> TwoLevelWeights:
     """CRITIC inside each criterion, then CRITIC of the criterion composites per
-    regime (rows with the same criteria missing), blended by regime size."""
+    regime (rows with the same criteria missing), blended by regime size.
+
+    The panel is read four times; settle it first if it is costly to derive."""
     h: Hierarchy = panel.hierarchy
     rows = usable_rows(panel).drop(*[f"has_{c}" for c in h.indicators])
-    rows = settle(rows.withColumn(FIT, F.col("period") if per_period else F.lit(0)))
+    rows = rows.withColumn(FIT, F.col("period") if per_period else F.lit(0))
     local = local_weights(rows, h)
     placed = rows.join(local.select(FIT, *[f"local_{c}" for c in h.indicators]), FIT)
     z = placed.select(
@@ -265,7 +267,7 @@ def local_weights(rows: DataFrame, h: Hierarchy) -> DataFrame:
         for k in h.criteria
         for i, c in enumerate(h.groups[k])
     ]
-    wide = active.join(settle(stats.groupBy(FIT).agg(*back)), FIT, "left")
+    wide = active.join(stats.groupBy(FIT).agg(*back), FIT, "left")
     out: dict[str, Column] = {}
     for k in h.criteria:
         cols = h.groups[k]
@@ -283,8 +285,8 @@ def regime_weights(z: DataFrame, criteria: Sequence[str]) -> DataFrame:
     keyed = z.withColumn("regime", key).where(present(F.col(k) for k in criteria) > 0)
     stats = critic_statistics(keyed, [FIT, "regime"], {"criteria": list(criteria)})
     n = F.greatest(*[F.col(f"_n_{k}") for k in criteria]) if len(criteria) > 1 else F.col(f"_n_{criteria[0]}")
-    return settle(
-        stats.select(FIT, "regime", n.alias("n_rows"), *[F.col(f"weight_{k}").alias(f"crit_{k}") for k in criteria])
+    return stats.select(
+        FIT, "regime", n.alias("n_rows"), *[F.col(f"weight_{k}").alias(f"crit_{k}") for k in criteria]
     )
 
 

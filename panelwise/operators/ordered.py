@@ -35,11 +35,18 @@ def _with_buckets(df: DataFrame, group: list[str], key: str, biggest: int, limit
 
 
 def running_sums(
-    distinct: DataFrame, group: Sequence[str], key: str, sums: Mapping[str, Column], limit: int | None = None
+    distinct: DataFrame,
+    group: Sequence[str],
+    key: str,
+    sums: Mapping[str, Column],
+    limit: int | None = None,
+    biggest: int | None = None,
 ) -> DataFrame:
-    """Add running sums over ``key`` (unique within a group), current row included."""
+    """Add running sums over ``key`` (unique within a group), current row included.
+
+    ``biggest``: a bound on the rows of a group, if known; else they are counted."""
     group, limit = list(group), limit or WINDOW_ROWS
-    biggest = largest_group(distinct, group)
+    biggest = largest_group(distinct, group) if biggest is None else biggest
     if biggest <= limit:
         w = Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
         return distinct.withColumns({n: F.sum(c).over(w) for n, c in sums.items()})

@@ -99,13 +99,14 @@ def _flow(pref: Preference, side: str, x: Column, at: dict[float, dict[str, Colu
 def value_flows(
     values: DataFrame, group: Sequence[str], pref: Preference, limit: int | None = None
 ) -> DataFrame:
-    """``(group.., x, plus, minus)`` for every distinct x: summed preferences over the
-    others, and against x. ``values`` has columns ``group.., x``."""
+    """``(group.., x, plus, minus, rows)`` for every distinct x: summed preferences over
+    the others, and against x, and the rows of the group. ``values`` has ``group.., x``."""
     group = list(group)
     counts = settle(values.groupBy(*group, "x").agg(F.count(F.lit(1)).alias("n")))
-    sizes = settle(counts.groupBy(*group).agg(F.sum("n").alias("_rows")))
+    sizes = settle(counts.groupBy(*group).agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_values")))
+    distinct = sizes.agg(F.max("_values")).first()[0] or 0
     if pref.kind == "gaussian":
-        return _gaussian_flows(counts, sizes, group, pref, limit)
+        return _gaussian_flows(counts, sizes, group, pref, limit, distinct)
     shifts = _shifts(pref)
     names: dict[tuple[str, float], str] = {}
     points = []
@@ -117,7 +118,8 @@ def value_flows(
     data = counts.select(*group, F.col("x").alias("key"), "n", (F.col("x") * F.col("n")).alias("s"))
     asked = probe.select(*group, "key", F.lit(0).cast("long").alias("n"), lit(0).alias("s"))
     line = data.unionByName(asked).groupBy(*group, "key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    run = running_sums(settle(line), group, "key", {"upto_n": F.col("n"), "upto_s": F.col("s")}, limit)
+    sums = {"upto_n": F.col("n"), "upto_s": F.col("s")}
+    run = running_sums(line, group, "key", sums, limit, distinct * (1 + len(points)))
     looked = probe.join(run, [*group, "key"]).groupBy(*group, "x").agg(
         *[
             F.max(F.when(F.col("probe") == name, F.col(c) - F.col(d) if d else F.col(c))).alias(f"{name}_{tag}")
@@ -138,10 +140,10 @@ def value_flows(
             for s in shifts
         }
         sides[side] = _flow(pref, side, F.col("x"), at, F.col("_rows"))
-    return full.select(*group, "x", sides["plus"].alias("plus"), sides["minus"].alias("minus"))
+    return full.select(*group, "x", sides["plus"].alias("plus"), sides["minus"].alias("minus"), F.col("_rows").alias("rows"))
 
 
-def _gaussian_flows(counts: DataFrame, sizes: DataFrame, group: list[str], pref: Preference, limit: int | None) -> DataFrame:
+def _gaussian_flows(counts: DataFrame, sizes: DataFrame, group: list[str], pref: Preference, limit: int | None, distinct: int) -> DataFrame:
     """1 - exp(-(x-y)^2 / 2s^2) summed over y < x and over y > x."""
     terms, var = _terms(pref.sigma), pref.sigma**2
     u = F.col("x") - 0.5
@@ -149,7 +151,7 @@ def _gaussian_flows(counts: DataFrame, sizes: DataFrame, group: list[str], pref:
     moments = {f"m{k}": F.col("n") * bell * F.pow(u, lit(k)) for k in range(terms)}
     line = counts.withColumns(moments)
     sums = {"c": F.col("n")} | {f"r{k}": F.col(f"m{k}") for k in range(terms)}
-    run = running_sums(settle(line), group, "x", sums, limit)
+    run = running_sums(line, group, "x", sums, limit, distinct)
     whole = settle(line.groupBy(*group).agg(*[F.sum(f"m{k}").alias(f"t{k}") for k in range(terms)]))
     full = run.join(sizes, group).join(whole, group)
 
@@ -161,7 +163,7 @@ def _gaussian_flows(counts: DataFrame, sizes: DataFrame, group: list[str], pref:
 
     plus = (F.col("c") - F.col("n")) - bells(lambda k: F.col(f"r{k}") - F.col(f"m{k}"))
     minus = (F.col("_rows") - F.col("c")) - bells(lambda k: F.col(f"t{k}") - F.col(f"r{k}"))
-    return full.select(*group, "x", plus.alias("plus"), minus.alias("minus"))
+    return full.select(*group, "x", plus.alias("plus"), minus.alias("minus"), F.col("_rows").alias("rows"))
 
 
 def flows(
@@ -171,13 +173,14 @@ def flows(
     preferences: Mapping[str, Preference] | Preference = Preference(),
     limit: int | None = None,
 ) -> DataFrame:
-    """Outranking flows. ``scaled`` is long: ``by.., entity, indicator, x, w`` with x in [0, 1].
+    """Outranking flows. ``scaled`` is long: ``by.., entity, indicator, x, w`` with x in
+    [0, 1]; it is read twice, so settle it first if it is costly.
 
     Returns ``(by.., entity, phi_plus, phi_minus, phi)``."""
     by = list(by)
     if not by:
         return flows(scaled.withColumn("_all", F.lit(0)), ["_all"], entity, preferences, limit).drop("_all")
-    rows = settle(scaled.where(F.col("x").isNotNull()).withColumn("x", _grid(F.col("x"))))
+    rows = scaled.where(F.col("x").isNotNull()).withColumn("x", _grid(F.col("x")))
     kinds: dict[Preference, list[str] | None] = {}
     if isinstance(preferences, Preference):
         kinds[preferences] = None
@@ -193,11 +196,12 @@ def flows(
     for p in parts[1:]:
         joined = joined.unionByName(p)
     per_entity = joined.groupBy(*by, entity).agg(
-        F.sum(F.col("w") * F.col("plus")).alias("_plus"), F.sum(F.col("w") * F.col("minus")).alias("_minus")
+        F.sum(F.col("w") * F.col("plus")).alias("_plus"),
+        F.sum(F.col("w") * F.col("minus")).alias("_minus"),
+        F.max("rows").alias("_rows"),
     )
-    sizes = settle(rows.groupBy(*by, "indicator").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.max("n").alias("_rows")))
     others = F.when(F.col("_rows") > 1, F.col("_rows") - 1).otherwise(F.lit(1))
-    return per_entity.join(sizes, by).select(
+    return per_entity.select(
         *by,
         entity,
         (F.col("_plus") / others).alias("phi_plus"),
