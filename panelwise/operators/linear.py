@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
-def moment_rows(df: DataFrame, columns: Sequence[str], group: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+def moment_rows(
+    df: DataFrame, columns: Sequence[str], group: Sequence[str] = (), weight: str | None = None,
+    lift: Callable[[np.ndarray], np.ndarray] | None = None, n_lifted: int = 0, n_out: int = 0,
+) -> DataFrame:
     """``(group.., i, j, s)``: sums of x_i * x_j, with x_0 = 1, over complete rows.
 
+    ``lift`` replaces the first ``n_lifted`` columns by ``n_out`` derived ones inside the task.
+
     Each task adds up its own Arrow batches (p x p numbers per group seen), then the
     partial sums meet in one small shuffle."""
     columns, group = list(columns), list(group)
@@ -20,7 +25,7 @@ def moment_rows(df: DataFrame, columns: Sequence[str], group: Sequence[str] = ()
     for c in columns:
         rows = rows.where(F.col(c).isNotNull())
     keys = [f for f in rows.schema.fields if f.name in group]
-    p = len(columns) + 1
+    p = len(columns) - n_lifted + n_out + 1
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -28,7 +33,10 @@ def moment_rows(df: DataFrame, columns: Sequence[str], group: Sequence[str] = ()
         for pdf in batches:
             parts = pdf.groupby(group, sort=False) if group else [((), pdf)]
             for key, part in parts:
-                x = np.column_stack([np.ones(len(part)), part[columns].to_numpy(float)])
+                x = part[columns].to_numpy(float)
+                if lift is not None:
+                    x = np.column_stack([lift(x[:, :n_lifted]), x[:, n_lifted:]])
+                x = np.column_stack([np.ones(len(part)), x])
                 w = part[weight].to_numpy(float)[:, None] if weight else 1.0
                 key = key if isinstance(key, tuple) else (key,)
                 sums[key] = sums.get(key, 0.0) + x.T @ (w * x)
@@ -44,10 +52,11 @@ def moment_rows(df: DataFrame, columns: Sequence[str], group: Sequence[str] = ()
     return rows.mapInPandas(partial, schema).groupBy(*group, "i", "j").agg(F.sum("s").alias("s"))
 
 
-def moments(df: DataFrame, columns: Sequence[str], weight: str | None = None) -> np.ndarray:
+def moments(df: DataFrame, columns: Sequence[str], weight: str | None = None, **lifting) -> np.ndarray:
     """The (p+1) x (p+1) matrix of one group; its size is the schema's, not the data's."""
-    m = np.zeros((len(columns) + 1, len(columns) + 1))
-    for row in moment_rows(df, columns, (), weight).collect():
+    p = len(columns) - lifting.get("n_lifted", 0) + lifting.get("n_out", 0) + 1
+    m = np.zeros((p, p))
+    for row in moment_rows(df, columns, (), weight, **lifting).collect():
         m[row["i"], row["j"]] = m[row["j"], row["i"]] = row["s"]
     return m
 

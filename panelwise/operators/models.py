@@ -11,10 +11,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from panelwise.functions.guards import lit
 from panelwise.operators.evaluate import metric_summary
@@ -143,16 +144,19 @@ def fourier_ridge(
     omega = rng.normal(0.0, math.sqrt(2 * gamma), (len(x), features))
     phase = rng.uniform(0, 2 * math.pi, features)
 
-    def lift(rows: DataFrame) -> DataFrame:
-        return rows.withColumns(
-            {f"_f{i}": F.cos(linear_expression(x, float(phase[i]), omega[:, i])) for i in range(features)}
-        )
+    def lift(rows: np.ndarray) -> np.ndarray:
+        return np.cos(rows @ omega + phase)
 
-    names = [f"_f{i}" for i in range(features)]
-    mean, cov, n = covariance(moments(lift(df), [*names, y]))
+    m = moments(df, [*x, y], lift=lift, n_lifted=len(x), n_out=features)
+    mean, cov, n = covariance(m)
     beta = np.linalg.solve(cov[:features, :features] + penalty / max(n, 1) * np.eye(features), cov[:features, features])
-    line = linear_expression(names, float(mean[features] - mean[:features] @ beta), beta)
-    return Fitted("fourier_ridge", lambda new: lift(new).withColumn("yhat", line).drop(*names), {})
+    intercept = float(mean[features] - mean[:features] @ beta)
+
+    @F.pandas_udf(T.DoubleType())
+    def score(*cols: pd.Series) -> pd.Series:
+        return pd.Series(lift(np.column_stack([c.to_numpy(float) for c in cols])) @ beta + intercept)
+
+    return Fitted("fourier_ridge", lambda new: new.withColumn("yhat", score(*[F.col(c) for c in x])), {})
 
 
 @dataclass

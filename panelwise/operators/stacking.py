@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwise.functions.guards import clip, lit, ratio, total
-from panelwise.functions.noise import poisson_one
+from panelwise.functions.noise import poisson_one, uniform
 from panelwise.operators.evaluate import known, metric_summary
-from panelwise.operators.linear import covariance, linear_expression, moment_rows, moments
-from panelwise.operators.splits import walk_forward
+from panelwise.operators.linear import covariance, moment_rows, moments
+from panelwise.operators.splits import fold_table
 from panelwise.panel import ENTITY, PERIOD
 from panelwise.session import settle
 
@@ -29,21 +30,24 @@ def wide_forecasts(df: DataFrame, models: Sequence[str], keys: Sequence[str] = K
 
 
 def out_of_fold(
-    df: DataFrame, fits: Mapping[str, Callable], x: Sequence[str], y: str, keys: Sequence[str],
+    df: DataFrame, fits: Mapping[str, Callable], x: Sequence[str], targets: Mapping[str, str], keys: Sequence[str],
     min_train: int = 3, max_folds: int = 3, period: str = PERIOD,
 ) -> DataFrame:
-    """``(fold, keys.., y, model, yhat)`` of every model on every walk-forward fold."""
-    tagged = settle(walk_forward(df.where(F.col(y).isNotNull()), period, min_train, max_folds))
-    folds = [r["fold"] for r in tagged.select("fold").distinct().orderBy("fold").collect()]
+    """``(fold, keys.., component, y, model, yhat)`` of every model, component and
+    walk-forward fold. ``targets``: component -> target column. Rows are tagged once."""
+    folds = [tuple(r) for r in fold_table(df, period, min_train, max_folds).orderBy("fold").collect()]
     out = None
-    for f in folds:
-        part = tagged.where(F.col("fold") == f)
-        for name, fit in fits.items():
-            model = fit(part.where("role = 'train'"), x, y)
-            rows = model.predict(part.where("role = 'validate'")).select(
-                "fold", *keys, F.col(y).alias("y"), F.lit(name).alias("model"), "yhat"
-            )
-            out = rows if out is None else out.unionByName(rows)
+    for fold, at in folds:
+        for component, y in targets.items():
+            known_y = F.col(y).isNotNull()
+            train = df.where((F.col(period) < at) & known_y)
+            validate = df.where((F.col(period) == at) & known_y)
+            for name, fit in fits.items():
+                rows = fit(train, x, y).predict(validate).select(
+                    F.lit(fold).alias("fold"), *keys, F.lit(component).alias("component"), F.col(y).alias("y"),
+                    F.lit(name).alias("model"), "yhat",
+                )
+                out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -146,20 +150,36 @@ def share_across_components(weights: DataFrame, strength: float = 0.3) -> DataFr
 def weight_spread(df: DataFrame, models: Sequence[str], seed: int, resamples: int = 200, penalty: float = 1e-3) -> DataFrame:
     """Sd of the ridge weights when whole entities are resampled.
 
-    An entity's count in a resample is a hash, so rows only get a weight; the sums of
-    all resamples come from one pass and K x K numbers per resample come back."""
-    rows = wide_forecasts(known(df), models).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    drawn = rows.withColumn("_w", poisson_one(seed, F.col("replicate"), F.col(ENTITY)).cast("double")).where("_w > 0")
-    k = len(models)
-    grams: dict = {}
-    for row in moment_rows(drawn, [*models, "y"], ["component", "replicate"], "_w").toLocalIterator():
-        m = grams.setdefault((row["component"], row["replicate"]), np.zeros((k + 2, k + 2)))
-        m[row["i"], row["j"]] = m[row["j"], row["i"]] = row["s"]
+    An entity's counts in the resamples are hashes. Each task turns its rows into
+    resample-weighted sums (resamples x K x K numbers per component), so neither the
+    rows nor the shuffle grow with the number of resamples."""
+    draws = F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda i: poisson_one(seed, i, F.col(ENTITY)).cast("double"))
+    names = [*models, "y"]
+    rows = wide_forecasts(known(df), models).where(" AND ".join(f"`{n}` IS NOT NULL" for n in names))
+    k = len(names)
+
+    def partial(batches):
+        sums: dict[str, np.ndarray] = {}
+        for pdf in batches:
+            for c, part in pdf.groupby("component", sort=False):
+                v = part[names].to_numpy(float)
+                outer = (v[:, :, None] * v[:, None, :]).reshape(len(v), k * k)
+                sums[c] = sums.get(c, 0.0) + np.stack(part["_draws"].to_numpy()).T @ np.column_stack([outer, np.ones(len(v))])
+        for c, m in sums.items():
+            yield pd.DataFrame({"component": c, "replicate": range(len(m)), "sums": list(m)})
+
+    drawn = rows.select("component", *names, draws.alias("_draws"))
+    parts = drawn.mapInPandas(partial, "component string, replicate int, sums array<double>")
+    whole = parts.select("component", "replicate", F.posexplode("sums").alias("i", "s")).groupBy("component", "replicate", "i").agg(F.sum("s").alias("s"))
+    state: dict = {}
+    for row in whole.toLocalIterator():
+        state.setdefault((row["component"], row["replicate"]), np.zeros(k * k + 1))[row["i"]] = row["s"]
     per: dict = {}
-    for (c, _), m in grams.items():
-        a = m[1 : k + 1, 1 : k + 1] + penalty * max(m[0, 0], 1.0) * np.eye(k)
-        w = np.maximum(np.linalg.solve(a, m[1 : k + 1, k + 1]), 0.0)
-        per.setdefault(c, []).append(w / w.sum() if w.sum() > 0 else np.full(k, 1 / k))
+    for (c, _), m in state.items():
+        gram = m[:-1].reshape(k, k)
+        a = gram[: k - 1, : k - 1] + penalty * max(m[-1], 1.0) * np.eye(k - 1)
+        w = np.maximum(np.linalg.solve(a, gram[: k - 1, k - 1]), 0.0)
+        per.setdefault(c, []).append(w / w.sum() if w.sum() > 0 else np.full(k - 1, 1 / (k - 1)))
     rows_out = [
         (c, m, float(np.mean([w[i] for w in ws])), float(np.std([w[i] for w in ws])))
         for c, ws in sorted(per.items()) for i, m in enumerate(models)
@@ -215,24 +235,36 @@ def shift_statistic(
 
     The Gaussian kernel is expanded in random Fourier features, so the statistic is a
     difference of means: one pass gives it for the true and all permuted labels,
-    with no pairs of rows."""
+    with no pairs of rows and no copies of rows."""
     p = len(columns)
     _, cov, _ = covariance(moments(df, columns))
     h = bandwidth or float(np.sqrt(max(2 * np.trace(cov), 1e-12)))
-    rng = np.random.default_rng(seed)
-    omega = rng.normal(0.0, 1.0 / h, (p, features))
-    lifted = df.select(
-        *keys, F.col(label).cast("int").alias("_l"),
-        F.array(*[f(linear_expression(columns, 0.0, omega[:, i])) for i in range(features) for f in (F.cos, F.sin)]).alias("_f"),
-    )
-    from panelwise.functions.noise import uniform
-
+    omega = np.random.default_rng(seed).normal(0.0, 1.0 / h, (p, features))
     share = df.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    runs = lifted.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(permutations))))
-    drawn = (uniform(seed, F.col("run"), *[F.col(k) for k in keys]) < share).cast("int")
-    placed = runs.withColumn("_g", F.when(F.col("run") == 0, F.col("_l")).otherwise(drawn))
-    means = placed.select("run", "_g", F.posexplode("_f").alias("i", "v")).groupBy("run", "i").agg(
-        (F.avg(F.when(F.col("_g") == 1, F.col("v"))) - F.avg(F.when(F.col("_g") == 0, F.col("v")))).alias("d")
+    # label of every run: the true one first, then hashed draws with the same share
+    drawn = F.transform(
+        F.sequence(F.lit(1), F.lit(permutations)),
+        lambda i: (uniform(seed, i, *[F.col(k) for k in keys]) < share).cast("double"),
+    )
+    rows = df.select(*columns, F.concat(F.array(F.col(label).cast("double")), drawn).alias("_g"))
+
+    def partial(batches):
+        one = zero = None
+        for pdf in batches:
+            z = pdf[list(columns)].to_numpy(float) @ omega
+            f = np.column_stack([np.cos(z), np.sin(z), np.ones(len(z))])
+            g = np.stack(pdf["_g"].to_numpy())
+            one = g.T @ f if one is None else one + g.T @ f
+            zero = (1 - g).T @ f if zero is None else zero + (1 - g).T @ f
+        if one is not None:
+            for tag, m in ((1, one), (0, zero)):
+                yield pd.DataFrame({"run": range(len(m)), "g": tag, "sums": list(m)})
+
+    parts = rows.mapInPandas(partial, "run int, g int, sums array<double>")
+    sums = parts.select("run", "g", F.posexplode("sums").alias("i", "s")).groupBy("run", "g", "i").agg(F.sum("s").alias("s"))
+    sizes = sums.where(F.col("i") == 2 * features).select("run", "g", F.col("s").alias("_n"))
+    means = sums.where(F.col("i") < 2 * features).join(sizes, ["run", "g"]).groupBy("run", "i").agg(
+        F.sum(F.when(F.col("g") == 1, F.col("s") / F.col("_n")).otherwise(-F.col("s") / F.col("_n"))).alias("d")
     )
     stat = means.groupBy("run").agg((F.sum(F.col("d") * F.col("d")) / features).alias("mmd2"))
     null = F.percentile(F.when(F.col("run") > 0, F.col("mmd2")), F.lit(0.95))

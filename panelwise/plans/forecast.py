@@ -67,12 +67,9 @@ def fit_stage(
     min_train: int = 3, max_folds: int = 3,
 ) -> DataFrame:
     """Walk-forward forecasts of every model and component; period is the TARGET's."""
-    parts = None
-    for c in columns:
-        part = S.out_of_fold(features, fits, names, f"y_{c}", [ENTITY, PERIOD], min_train, max_folds)
-        part = part.withColumns({"component": F.lit(c), PERIOD: F.col(PERIOD) + 1})
-        parts = part if parts is None else parts.unionByName(part)
-    return settle(parts)
+    targets = {c: f"y_{c}" for c in columns}
+    rows = S.out_of_fold(features, fits, names, targets, [ENTITY, PERIOD], min_train, max_folds)
+    return settle(rows.withColumn(PERIOD, F.col(PERIOD) + 1))
 
 
 def predict_stage(
