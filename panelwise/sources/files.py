@@ -114,7 +114,7 @@ def write_all(
     manifest = None
     for name, df in tables.items():
         path = write_table(df, f"{folder}/{name}", format, digits)
-        back = spark.read.schema(df.schema).format(format).load(path)
+        back = spark.read.schema(df.schema).format(format).option("header", format == "csv").load(path)
         line = back.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(name).alias("name"), F.lit(path).alias("path"), F.lit(format).alias("format"), "n_rows"
         )
