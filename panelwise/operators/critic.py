@@ -193,11 +193,17 @@ def activity(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFr
     return df.groupBy(*by).agg(*[(F.count(c) > 0).alias(f"has_{c}") for c in columns])
 
 
+def period_activity(panel: Panel) -> DataFrame:
+    """:func:`activity` by period, computed once per panel and kept with it."""
+    if "activity" not in panel.known:
+        panel.known["activity"] = settle(activity(panel.data, ["period"], panel.indicators))
+    return panel.known["activity"]
+
+
 def usable_rows(panel: Panel) -> DataFrame:
     """Rows complete in every indicator that is active in their period; adds ``has_*``."""
     columns = panel.indicators
-    active = settle(activity(panel.data, ["period"], columns))
-    rows = panel.data.join(active, "period")
+    rows = panel.data.join(period_activity(panel), "period")
     has = [F.col(f"has_{c}") for c in columns]
     return rows.where(all_of(F.col(c).isNotNull() | ~h for c, h in zip(columns, has)) & any_of(has))
 
@@ -224,24 +230,28 @@ def two_level_weights(panel: Panel, per_period: bool = False) -> TwoLevelWeights
     )
     regimes = regime_weights(z, h.criteria)
     blended = blend_regimes(regimes, h.criteria)
-    return TwoLevelWeights(h, rows, local, regimes, settle(global_weights(local, blended, h)))
+    return TwoLevelWeights(h, rows, local, regimes, settle(global_weights(local, blended, h)), per_period)
 
 
 def criterion_rows(rows: DataFrame, h: Hierarchy, ids: Sequence[str]) -> DataFrame:
-    """One row per (ids, criterion) whose active indicators are all present.
+    """One row per (ids, criterion) with any indicator present.
 
     The indicators of a criterion sit in slots ``x1, x2, ..``, so that one set of
     aggregates serves every criterion and the plan does not grow with their
-    number. Slots of inactive indicators (``has_*`` false) are NULL.
+    number. ``pattern`` says which slots are present, as text of 0 and 1.
     """
     cells = []
     for k in h.criteria:
         cols = h.groups[k]
-        gap = any_of(F.col(f"has_{c}") & F.col(c).isNull() for c in cols)
-        some = any_of(F.col(c).isNotNull() for c in cols)
-        values = [F.col(c) for c in cols] + [F.lit(None).cast("double")] * (slots(h) - len(cols))
-        cell = F.struct(F.lit(k).alias("criterion"), *[v.alias(f"x{i + 1}") for i, v in enumerate(values)])
-        cells.append(F.when(some & ~gap, cell))
+        pad = slots(h) - len(cols)
+        values = [F.col(c) for c in cols] + [F.lit(None).cast("double")] * pad
+        bits = [F.when(F.col(c).isNotNull(), F.lit("1")).otherwise(F.lit("0")) for c in cols]
+        cell = F.struct(
+            F.lit(k).alias("criterion"),
+            F.concat(*bits, F.lit("0" * pad)).alias("pattern"),
+            *[v.alias(f"x{i + 1}") for i, v in enumerate(values)],
+        )
+        cells.append(F.when(any_of(F.col(c).isNotNull() for c in cols), cell))
     return rows.select(*ids, F.inline(F.filter(F.array(*cells), lambda s: s.isNotNull())))
 
 
@@ -254,29 +264,48 @@ def slot_names(h: Hierarchy) -> list[str]:
 
 
 def local_weights(rows: DataFrame, h: Hierarchy) -> DataFrame:
-    """Level 1: weights inside each criterion, per fit, on rows complete in that criterion."""
-    active = settle(activity(rows, [FIT], h.indicators))
-    cells = criterion_rows(rows.join(active, FIT), h, [FIT])
+    """Level 1: weights inside each criterion, per fit, on rows complete in that criterion.
+
+    One pass gives the statistics per (fit, criterion, pattern of present slots). An
+    indicator is active in a fit if any of its patterns has it; the complete rows are
+    those whose pattern has every active slot.
+    """
     names = slot_names(h)
-    stats = critic_statistics(cells, [FIT, "criterion"], {"m": names}).select(
-        FIT, "criterion", *[f"weight_{x}" for x in names]
+    stats = critic_statistics(criterion_rows(rows, h, [FIT]), [FIT, "criterion", "pattern"], {"m": names}).select(
+        FIT, "criterion", "pattern", *[f"weight_{x}" for x in names]
     )
-    # one row per fit again; a criterion without any complete row has no weights here
-    back = [
-        F.max(F.when(F.col("criterion") == k, F.col(f"weight_x{i + 1}"))).alias(f"_l_{c}")
-        for k in h.criteria
-        for i, c in enumerate(h.groups[k])
-    ]
-    wide = active.join(stats.groupBy(FIT).agg(*back), FIT, "left")
-    out: dict[str, Column] = {}
+    out = []
+    for k in h.criteria:
+        mine = F.col("criterion") == k
+        for i, c in enumerate(h.groups[k]):
+            has = F.max(F.when(mine, F.substring("pattern", i + 1, 1))) == "1"
+            out.append(F.coalesce(has, F.lit(False)).alias(f"has_{c}"))
+    # patterns x criteria rows per fit; the weights of every pattern come along as a map
+    weights = F.map_from_entries(
+        F.collect_list(
+            F.struct(
+                F.concat("criterion", F.lit("|"), "pattern"), F.array(*[F.col(f"weight_{x}") for x in names])
+            )
+        )
+    )
+    wide = stats.groupBy(FIT).agg(*out, weights.alias("_weights"))
+    done: dict[str, Column] = {}
+    for k in h.criteria:
+        cols = h.groups[k]
+        bits = [F.when(F.col(f"has_{c}"), F.lit("1")).otherwise(F.lit("0")) for c in cols]
+        done[f"_w_{k}"] = F.try_element_at(
+            "_weights", F.concat(F.lit(f"{k}|"), *bits, F.lit("0" * (slots(h) - len(cols))))
+        )
+    wide = wide.withColumns(done)
+    local: dict[str, Column] = {}
     for k in h.criteria:
         cols = h.groups[k]
         n_has = total(F.when(F.col(f"has_{c}"), lit(1)) for c in cols)
-        whole = total(F.col(f"_l_{c}") for c in cols)
-        for c in cols:
-            share = F.when(whole > 0, ratio(F.col(f"_l_{c}"), whole)).otherwise(ratio(lit(1), n_has))
-            out[f"local_{c}"] = F.when(F.col(f"has_{c}"), share).otherwise(lit(0))
-    return settle(wide.select(FIT, *[v.alias(n) for n, v in out.items()]))
+        for i, c in enumerate(cols):
+            # weights of a pattern sum to 1 over its slots; no complete row: equal shares
+            share = F.coalesce(F.col(f"_w_{k}")[i], ratio(lit(1), n_has))
+            local[f"local_{c}"] = F.when(F.col(f"has_{c}"), share).otherwise(lit(0))
+    return settle(wide.select(FIT, *[v.alias(n) for n, v in local.items()]))
 
 
 def regime_weights(z: DataFrame, criteria: Sequence[str]) -> DataFrame:
@@ -316,8 +345,10 @@ def global_weights(local: DataFrame, blended: DataFrame, h: Hierarchy) -> DataFr
 class TwoLevelWeights:
     """The tables of one weighting run; every one has a ``fit`` key (a period, or 0 if pooled)."""
 
-    def __init__(self, h: Hierarchy, rows: DataFrame, local: DataFrame, regimes: DataFrame, table: DataFrame):
+    def __init__(self, h: Hierarchy, rows: DataFrame, local: DataFrame, regimes: DataFrame, table: DataFrame,
+                 per_period: bool):
         self.hierarchy, self.rows, self.local, self.regimes, self.table = h, rows, local, regimes, table
+        self.per_period = per_period
 
     def long(self) -> DataFrame:
         """``(fit, criterion, indicator, local_weight, criterion_weight, weight)``."""

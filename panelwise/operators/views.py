@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwise.functions.guards import all_of, any_of, lit, present, row_mean
-from panelwise.operators.critic import activity
+from panelwise.operators.critic import period_activity
 from panelwise.panel import ENTITY, PERIOD, Panel, to_long
 from panelwise.session import settle
 
@@ -61,8 +61,7 @@ def with_complete_flags(panel: Panel) -> DataFrame:
     """The rows plus ``complete_<criterion>``: every indicator of the criterion that
     is active in the period is present, and there is one."""
     h = panel.hierarchy
-    active = settle(activity(panel.data, [PERIOD], h.indicators))
-    rows = panel.data.join(active, PERIOD)
+    rows = panel.data.join(period_activity(panel), PERIOD)
     flags = {}
     for k in h.criteria:
         has = [F.col(f"has_{c}") for c in h.groups[k]]

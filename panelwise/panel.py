@@ -41,6 +41,8 @@ class Hierarchy:
 class Panel:
     data: DataFrame
     hierarchy: Hierarchy
+    # tables derived from this data that several operators share
+    known: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
 
     @property
     def indicators(self) -> list[str]:
@@ -51,7 +53,7 @@ class Panel:
         return self.data.sparkSession
 
     def with_data(self, data: DataFrame) -> Panel:
-        return replace(self, data=data)
+        return replace(self, data=data, known={})
 
     def long(self, keep_missing: bool = True) -> DataFrame:
         return to_long(self.data, self.indicators, self.hierarchy, keep_missing)

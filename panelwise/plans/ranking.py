@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwise.functions.guards import any_of, lit, ratio, score_key, total
 from panelwise.operators import methods as M
-from panelwise.operators.critic import FIT, TwoLevelWeights, activity, slot_names, slots
+from panelwise.operators.critic import FIT, TwoLevelWeights, period_activity, slot_names, slots
 from panelwise.operators.ordered import add_ranks
 from panelwise.operators.passes import run_programs
 from panelwise.operators.promethee import Preference, flows
@@ -18,6 +18,8 @@ from panelwise.session import settle
 ALL_METHODS = ("topsis", "vikor", "promethee", "copras", "edas", "base")
 MATRIX = [PERIOD, "criterion"]
 GROUP = [*MATRIX, "method"]
+# the result of each method that becomes its score
+RAW = {"topsis": "score", "vikor": "Q", "copras": "utility", "edas": "AS", "saw": "score"}
 
 
 def period_weights(panel: Panel, weights: TwoLevelWeights, own_criterion_weights: bool = True) -> DataFrame:
@@ -28,10 +30,9 @@ def period_weights(panel: Panel, weights: TwoLevelWeights, own_criterion_weights
     criterion without data that period; else the sum of the active indicators.
     """
     h = panel.hierarchy
-    active = activity(panel.data, [PERIOD], h.indicators)
+    active = period_activity(panel)
     table = weights.table.select(FIT, *[f"global_{c}" for c in h.indicators], *[f"crit_{k}" for k in h.criteria])
-    pooled = table.where(F.col(FIT) == 0).limit(1).count() == 1
-    placed = active.withColumn(FIT, F.lit(0) if pooled else F.col(PERIOD)).join(table, FIT)
+    placed = active.withColumn(FIT, F.col(PERIOD) if weights.per_period else F.lit(0)).join(table, FIT)
     g = {c: F.when(F.col(f"has_{c}"), F.col(f"global_{c}")).otherwise(lit(0)) for c in h.indicators}
     out: dict[str, Column] = {}
     raw: dict[str, Column] = {}
@@ -46,9 +47,8 @@ def period_weights(panel: Panel, weights: TwoLevelWeights, own_criterion_weights
     every = total(raw.values())
     for k in h.criteria:
         out[f"cw_{k}"] = F.when(every > 0, ratio(raw[k], every)).otherwise(lit(0))
-    return settle(
-        placed.select(PERIOD, *[f"has_{c}" for c in h.indicators], *[c.alias(n) for n, c in out.items()])
-    )
+    # both sides are settled and have a row per period: their join needs no own write
+    return placed.select(PERIOD, *[f"has_{c}" for c in h.indicators], *[c.alias(n) for n, c in out.items()])
 
 
 def criterion_matrices(panel: Panel, table: DataFrame) -> DataFrame:
@@ -110,36 +110,27 @@ def method_scores(
         parts.append(_closed_form(rows, h, wide))
     if "promethee" in methods:
         parts.append(_flow_method(rows, h, preference))
-    scores = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    if not ranked:
-        return scores
-    return rank_scores(settle(scores))
+    raws = settle(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]))
+    scores = _unit_scores(raws)
+    return rank_scores(scores) if ranked else scores
 
 
 def _closed_form(rows: DataFrame, h, wide: Sequence[str]) -> DataFrame:
-    """All closed-form methods share each pass over the rows."""
+    """Raw results of the closed-form methods, which share each pass over the rows."""
     names = slot_names(h)
-    programs = {m: _scaled_program(m, names) for m in wide}
+    weight = lambda x: F.col(x.replace("x", "w"))
+    programs = {m: M.METHODS[m](names, F.col, weight) for m in wide if m != "base"}
     out, found = run_programs(rows, MATRIX, programs)
-    cells = F.array(
-        *[
-            F.struct(F.lit(m).alias("method"), found[m]["raw"].alias("raw"), found[m]["score"].alias("score"))
-            for m in wide
-        ]
-    )
+    raw = {m: F.col("base") if m == "base" else found[m][RAW[m]] for m in wide}
+    cells = F.array(*[F.struct(F.lit(m).alias("method"), raw[m].alias("raw")) for m in wide])
     return out.select(*MATRIX, ENTITY, "criterion_weight", F.inline(cells))
 
 
-def _scaled_program(method: str, names: Sequence[str]):
-    """A method followed by the scaling of its order column to [0, 1]."""
-    if method == "base":
-        raw, higher = F.col("base"), True
-    else:
-        found = yield from M.METHODS[method](names, F.col, lambda x: F.col(x.replace("x", "w")))
-        order, higher = M.ORDER[method]
-        raw = found["utility" if method == "copras" else order]
-    scaled = yield from M.unit_scale(raw, higher)
-    return {"raw": raw, "score": scaled["score"]}
+def _unit_scores(raws: DataFrame) -> DataFrame:
+    """``score``: the raw result scaled to [0, 1] within (period, criterion, method), 1 best."""
+    up = F.when(F.col("method") == "vikor", -F.col("raw")).otherwise(F.col("raw"))
+    out, found = run_programs(raws, GROUP, {"unit": M.unit_scale(up)})
+    return out.select(*MATRIX, ENTITY, "criterion_weight", "method", "raw", found["unit"]["score"].alias("score"))
 
 
 def long_scaled(rows: DataFrame, h) -> DataFrame:
@@ -155,15 +146,9 @@ def long_scaled(rows: DataFrame, h) -> DataFrame:
 
 
 def _flow_method(rows: DataFrame, h, preference: Preference) -> DataFrame:
-    net = settle(flows(long_scaled(rows, h), [*MATRIX, "criterion_weight"], ENTITY, preference))
-    out, found = run_programs(net, MATRIX, {"promethee": M.unit_scale(F.col("phi"))})
-    return out.select(
-        *MATRIX,
-        ENTITY,
-        "criterion_weight",
-        F.lit("promethee").alias("method"),
-        F.col("phi").alias("raw"),
-        found["promethee"]["score"].alias("score"),
+    net = flows(long_scaled(rows, h), [*MATRIX, "criterion_weight"], ENTITY, preference)
+    return net.select(
+        *MATRIX, ENTITY, "criterion_weight", F.lit("promethee").alias("method"), F.col("phi").alias("raw")
     )
 
 
