@@ -178,3 +178,12 @@ def rubin_pooling(spark, folder):
 
 def imputed_means(spark, folder):
     return criterion_means(filled(spark, folder)[1])
+
+
+@query("tensor_completion")
+def tensor_completion(spark, folder):
+    """Low-rank model over entity, period and indicator."""
+    from panelwise.operators.tensor import complete_tensor
+
+    panel = panel_of(spark, folder)
+    return to_long(complete_tensor(panel.data, panel.indicators, rank=2, rounds=3), panel.indicators)

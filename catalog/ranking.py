@@ -406,3 +406,30 @@ def rank_suppliers_renormalised(spark, folder):
 @query("rank_suppliers_yearly_weights", f"""WITH {scores(per_period=True)}, {COMPOSITE} SELECT {BIG}, entity, {r("composite")} AS composite, n_criteria, {trunc_rank("composite", "period")} AS rank FROM comp""")
 def rank_suppliers_yearly_weights(spark, folder):
     return R.composite_ranks(scores_of(spark, folder, per_period=True, ranked=False))
+
+
+
+@query("edas_trimmed", edas_sql("tm").replace("e0 AS (SELECT *, tm AS av FROM x WINDOW g AS (PARTITION BY period, indicator))", """o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY period, indicator ORDER BY x) - 1 AS i, count(*) OVER (PARTITION BY period, indicator) AS n FROM x),
+tm AS MATERIALIZED (SELECT period, indicator, avg(x) AS av FROM o WHERE i >= floor(n * 0.1 + 1e-9) AND i < n - floor(n * 0.1 + 1e-9) GROUP BY ALL),
+e0 AS (SELECT x.*, tm.av FROM x JOIN tm USING (period, indicator))"""))
+def edas_trimmed(spark, folder):
+    """EDAS around the mean without the lowest and highest tenth."""
+    panel = panel_of(spark, folder, gaps=False)
+    out = M.edas_trimmed(panel.data, panel.indicators, ["period"], scaled_weights(panel), panel.hierarchy.cost)
+    return out.select("period", "entity", "SP", "SN", "AS", "rank")
+
+
+TWO_TABLES = f"""{CLEAN}, ri AS MATERIALIZED (SELECT period, criterion, entity AS id, indicator AS item, value FROM obs),
+{critic("ri", "period, criterion", "li", scale=False)}, rc AS MATERIALIZED (SELECT period, entity AS id, criterion AS item, avg(value) AS value FROM obs GROUP BY ALL),
+{critic("rc", "period", "lc", scale=False)}"""
+
+
+@query("adaptive_two_level", f"""{TWO_TABLES} SELECT i.period::BIGINT AS period, i.criterion, i.item AS indicator, {r("i.weight")} AS local_weight, {r("c.weight")} AS criterion_weight, {r("i.weight * c.weight")} AS weight
+FROM li i JOIN lc c ON c.period = i.period AND c.item = i.criterion""")
+def adaptive_two_level(spark, folder):
+    """Weights from a table of indicators and a table of criterion scores."""
+    from panelwise.operators.views import criterion_means
+
+    panel = panel_of(spark, folder, gaps=False)
+    means = settle(criterion_means(panel))
+    return C.adaptive_two_level(panel.data, means, panel.hierarchy, ["period"])

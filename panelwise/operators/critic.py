@@ -392,6 +392,35 @@ def adaptive_weights(df: DataFrame, columns: Sequence[str], by: Sequence[str] =
     return stats if by != ["_fit"] else stats.drop("_fit")
 
 
+def adaptive_two_level(
+    indicators: DataFrame, criteria: DataFrame, h: Hierarchy, by: Sequence[str]
+) -> DataFrame:
+    """``(by.., criterion, indicator, local_weight, criterion_weight, weight)`` from a table
+    of indicators and a table of criterion scores, each weighted by :func:`adaptive_weights`.
+
+    A criterion whose indicators give no weights gets equal ones."""
+    by = list(by)
+    out = adaptive_weights(criteria, h.criteria, by).select(*by, *[F.col(f"weight_{k}").alias(f"_c_{k}") for k in h.criteria])
+    for k in h.criteria:
+        cols = h.groups[k]
+        local = adaptive_weights(indicators, cols, by).select(*by, *[F.col(f"weight_{c}").alias(f"_l_{c}") for c in cols])
+        out = out.join(local, by, "left")
+    cells = []
+    for k in h.criteria:
+        cols = h.groups[k]
+        whole = total(F.col(f"_l_{c}") for c in cols)
+        for c in cols:
+            share = F.when(whole > 0, ratio(F.col(f"_l_{c}"), whole)).otherwise(lit(1 / len(cols)))
+            cells.append(
+                F.struct(
+                    F.lit(k).alias("criterion"), F.lit(c).alias("indicator"), share.alias("local_weight"),
+                    F.coalesce(F.col(f"_c_{k}"), lit(0)).alias("criterion_weight"),
+                )
+            )
+    rows = out.select(*by, F.inline(F.array(*cells)))
+    return rows.withColumn("weight", F.col("local_weight") * F.col("criterion_weight"))
+
+
 def weigh(df: DataFrame, columns: Sequence[str], method: str = "critic", by: Sequence[str] = ()) -> DataFrame:
     """Entry point by method name: ``critic``, ``adaptive`` or ``equal``."""
     if method == "critic":

@@ -286,3 +286,52 @@ def rank_matrix(
         grouped = grouped.withColumns({"_s": score_key(F.col("S")), "_r": score_key(F.col("R"))})
         ranks |= {"rank_S": ("_s", False, "truncated"), "rank_R": ("_r", False, "truncated")}
     return add_ranks(grouped, by or ["_all"], ranks).drop("_key", "_all", "_s", "_r")
+
+
+def trimmed_centre(df: DataFrame, columns: Sequence[str], by: Sequence[str], trim: float = 0.1) -> DataFrame:
+    """``(by.., centre_<column>)``: mean without the int(trim * n) lowest and highest values
+    of each column, from running counts of distinct values."""
+    from panelwise.operators.ordered import running_sums, value_counts
+    from panelwise.panel import to_long
+
+    by = list(by)
+    rows = df.where(all_of(F.col(c).isNotNull() for c in columns))
+    long = to_long(rows, columns, ids=by)
+    key = [*by, "indicator"]
+    counts = settle(value_counts(long, key, "value"))
+    sizes = settle(counts.groupBy(*key).agg(F.sum("_n").alias("_all")))
+    run = running_sums(counts, key, "value", {"_upto": F.col("_n")}).join(sizes, key)
+    cut = F.floor(F.col("_all") * F.lit(trim) + lit(1e-9))
+    # how many copies of this value lie between position cut and n - cut
+    kept = F.greatest(
+        F.least(F.col("_upto"), F.col("_all") - cut) - F.greatest(F.col("_upto") - F.col("_n"), cut), F.lit(0)
+    )
+    means = run.groupBy(*by).agg(
+        *[
+            ratio(
+                F.sum(F.when(F.col("indicator") == c, kept * F.col("value"))),
+                F.sum(F.when(F.col("indicator") == c, kept)).cast("double"),
+            ).alias(f"centre_{c}")
+            for c in columns
+        ]
+    )
+    return settle(means)
+
+
+def edas_trimmed(
+    df: DataFrame,
+    columns: Sequence[str],
+    by: Sequence[str],
+    weights: Mapping[str, float] | DataFrame | None = None,
+    cost: frozenset[str] = frozenset(),
+    trim: float = 0.1,
+) -> DataFrame:
+    """EDAS around the trimmed mean; adds SP, SN, AS and ``rank``."""
+    by = list(by)
+    kept = df.where(all_of(F.col(c).isNotNull() for c in columns))
+    placed, w = place_weights(attach(kept, trimmed_centre(kept, columns, by, trim), by), columns, by, weights)
+    centre = {c: F.col(f"centre_{c}") for c in columns}
+    out, found = run_programs(placed, by, {"edas": edas(columns, F.col, w, cost, centre)})
+    scored = out.select(*kept.columns, *[c.alias(n) for n, c in found["edas"].items()])
+    keyed = scored.withColumn("_key", score_key(F.col("AS")))
+    return add_ranks(keyed, by, {"rank": ("_key", True, "truncated")}).drop("_key")

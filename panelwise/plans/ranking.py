@@ -164,15 +164,19 @@ def rank_scores(scores: DataFrame) -> DataFrame:
 def composite(scores: DataFrame, renormalise: bool = False) -> DataFrame:
     """``(period, entity, composite, n_criteria)``: sum over criteria of weight x mean
     method score. A missing criterion adds nothing, unless ``renormalise``."""
-    per = scores.groupBy(PERIOD, ENTITY, "criterion").agg(
-        F.avg("score").alias("_mean"), F.first("criterion_weight").alias("_w")
-    )
-    value = F.sum(F.col("_mean") * F.col("_w"))
-    if renormalise:
-        value = ratio(value, F.sum("_w"))
-    return per.groupBy(PERIOD, ENTITY).agg(
-        value.alias("composite"), F.sum((F.col("_w") > 0).cast("long")).alias("n_criteria")
+    # an entity has the same methods in every criterion, and its rows come from one row:
+    # one aggregation whose map side already folds them into one
+    w = F.col("criterion_weight")
+    per = scores.groupBy(PERIOD, ENTITY).agg(
+        F.sum(F.col("score") * w).alias("_sum"),
+        F.sum(w).alias("_w"),
+        F.count(F.lit(1)).alias("_rows"),
+        F.size(F.collect_set("criterion")).alias("_criteria"),
+        F.size(F.collect_set(F.when(w > 0, F.col("criterion")))).cast("long").alias("n_criteria"),
     )
+    methods = F.col("_rows") / F.col("_criteria")
+    value = ratio(F.col("_sum"), F.col("_w")) if renormalise else F.col("_sum") / methods
+    return per.select(PERIOD, ENTITY, value.alias("composite"), "n_criteria")
 
 
 def composite_ranks(scores: DataFrame, renormalise: bool = False) -> DataFrame:
