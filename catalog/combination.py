@@ -73,7 +73,6 @@ def reweighed_composites(spark, folder):
     return B.reweigh(B.criterion_scores(scores), spark.createDataFrame(rows, "scenario int, criterion string, w double"))
 
 
-TV = f"""{VIKOR}, tp AS ({"{}"})"""
 TOPSIS_VIKOR = f"""{VIKOR}, t0 AS (SELECT *, x / sqrt(sum(x * x) OVER g) * w AS v FROM x WINDOW g AS (PARTITION BY period, indicator)),
 t1 AS (SELECT *, CASE WHEN cost THEN min(v) OVER g ELSE max(v) OVER g END AS hi, CASE WHEN cost THEN max(v) OVER g ELSE min(v) OVER g END AS lo FROM t0 WINDOW g AS (PARTITION BY period, indicator)),
 t2 AS (SELECT period, entity, sqrt(sum((v - hi) * (v - hi))) AS dp, sqrt(sum((v - lo) * (v - lo))) AS dn FROM t1 GROUP BY ALL),
