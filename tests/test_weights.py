@@ -1,6 +1,4 @@
-"""CRITIC on known matrices, regimes, gaps, published weights where the data is at hand."""
-
-import os
+"""CRITIC on known matrices, regimes and gaps."""
 
 import numpy as np
 import pandas as pd
@@ -107,20 +105,6 @@ def test_windows(spark):
     assert S.windows_kendall_w(w).first()["kendall_w"] == pytest.approx(1)
 
 
-@pytest.mark.skipif("PANEL_FILES" not in os.environ, reason="set PANEL_FILES to a folder of yearly files and a codebook")
-def test_published_weights(spark):
-    from panelwise.sources.files import hierarchy_from, read_codebook, read_period_files
-
-    root = os.environ["PANEL_FILES"]
-    book = read_codebook(spark, f"{root}/codebook/codebook_subcriteria.csv", ["Variable_Code", "Criteria_Code"])
-    h = hierarchy_from(book, "Variable_Code", "Criteria_Code")
-    panel = read_period_files(spark, f"{root}/csv", h, entity="Province")
-    w = C.two_level_weights(panel.with_data(settle(panel.data)), per_period=True)
-    got = {(r["fit"], r["criterion"]): round(r["weight"], 4) for r in w.criteria_long().collect()}
-    assert [got[(2024, f"C0{i}")] for i in range(1, 9)] == [0.1258, 0.0919, 0.1189, 0.0944, 0.1232, 0.1418, 0.1665, 0.1375]
-    assert [got[(2011, f"C0{i}")] for i in range(1, 9)] == [0.1280, 0.1524, 0.1533, 0.1662, 0.2051, 0.1950, 0, 0]
-
-
 def test_numpy_agrees_on_two_levels(gap_panel):
     """The pooled run by NumPy, regime by regime."""
     pdf = gap_panel.data.toPandas()
