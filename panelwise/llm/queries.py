@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents, embeddings
+from .hamming_index import nearest
 from .packing import pack
+from .simhash import near_duplicates
+from .tiled_cosine import near_vectors
 from .token_file import token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,7 +33,25 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return token_file(documents(spark, folder), "byte_bpe_50k.json", end_id=0)
 
 
+@query("op2_hamming_index")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    return nearest(embeddings(spark, folder), F.col("vec_id") % 100 == 0, 10)
+
+
+@query("op5_simhash")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints and components of all documents."""
+    return near_duplicates(documents(spark, folder), words=3, distance=2)
+
+
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
     return pack(documents(spark, folder), 4096, "word_bpe_49k.json", end_id=1)
+
+
+@query("op10_tiled_cosine")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate vectors of a label, by cosine 0.93."""
+    return near_vectors(embeddings(spark, folder), 0.93)
