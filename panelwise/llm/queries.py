@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import documents, embeddings
+from .common import documents, embeddings, shared_folder
 from .hamming_index import nearest
+from .licenses import scan, scan_sql
+from .mixing import MIX_SQL, mix
 from .packing import pack
+from .sharding import write_shards
 from .simhash import near_duplicates
 from .tiled_cosine import near_vectors
 from .token_file import token_file
@@ -39,6 +43,29 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(embeddings(spark, folder), F.col("vec_id") % 100 == 0, 10)
 
 
+@query("op3_sharding")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes, read back from the shards."""
+    path = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(documents(spark, folder).select("doc_id", "text"), path, 16)
+    text = F.coalesce("text", F.lit(""))
+    return spark.read.schema("doc_id long, text string, slot long, shard int").parquet(path).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op4_license_scan", scan_sql())
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and notices in all documents."""
+    return scan(documents(spark, folder)).withColumn("score", F.round("score", 6))
+
+
 @query("op5_simhash")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints and components of all documents."""
@@ -51,6 +78,14 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return pack(documents(spark, folder), 4096, "word_bpe_49k.json", end_id=1)
 
 
+@query("op8_poisson_mixing", MIX_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in equal parts from every source, in a global random order."""
+    size = (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size")
+    mixed = mix(documents(spark, folder), columns=[F.col("doc_id"), F.col("source"), size])
+    return mixed.select("row.*", F.round("rate", 6).alias("rate"), F.col("copies").cast("long").alias("copies"), F.col("copy").cast("long").alias("copy"), "position")
+
+
 @query("op10_tiled_cosine")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate vectors of a label, by cosine 0.93."""
