@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelwise.session import settle, shared_folder
@@ -36,7 +37,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20)
         values = batch.column(column)
         if not len(values):
             continue
-        widths = np.nan_to_num(np.asarray(pa.compute.binary_length(values).to_numpy(zero_copy_only=False), float))
+        widths = np.nan_to_num(np.asarray(pc.binary_length(values).to_numpy(zero_copy_only=False), float))
         ends = np.cumsum(widths)
         start = 0
         while start < len(values):

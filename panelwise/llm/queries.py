@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents, embeddings, shared_folder
 from .hamming_index import nearest
+from .langid import identify
 from .licenses import scan, scan_sql
 from .mixing import MIX_SQL, mix
 from .packing import pack
+from .perplexity import judge
 from .sharding import write_shards
 from .simhash import near_duplicates
 from .tiled_cosine import near_vectors
@@ -72,6 +74,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder), words=3, distance=2)
 
 
+@query("op6_perplexity")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Perplexity of all documents and whether they are accepted."""
+    return judge(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 4096 tokens."""
@@ -86,6 +94,14 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("row.*", F.round("rate", 6).alias("rate"), F.col("copies").cast("long").alias("copies"), F.col("copy").cast("long").alias("copy"), "position")
 
 
+@query("op9_language_id")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of all documents; a third of them is held out from learning."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    found = identify(documents(spark, folder), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op10_tiled_cosine")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate vectors of a label, by cosine 0.93."""
