@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import LOWER_BYTES, connected, settle, slices
 
 #: A bucket with more fingerprints is cut by more of their bits (until 14 bits are left, which bounds it).
-BUCKET = 1 << 14
+BUCKET = 1 << 16
 #: Fingerprints that share a key, on average; decides how many blocks there are, not what is found.
 SHARED = 64
 
