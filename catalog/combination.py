@@ -11,7 +11,7 @@ from catalog.ranking import (
 )
 from catalog.registry import query
 from oracle.base import (
-    COMPOSITE, CRITERIA, FIVE, INDICATORS, avg_rank, min_rank, pair_flows, r, scores, trunc_rank, weights,
+    COMPOSITE, CRITERIA, SIX, INDICATORS, avg_rank, min_rank, pair_flows, r, scores, trunc_rank, weights,
 )
 from panelwise.functions.guards import score_key
 from panelwise.operators import combine as B
@@ -23,7 +23,7 @@ from panelwise.operators import stability as S
 from panelwise.plans import ranking as R
 from panelwise.session import settle
 
-SCORES = "WITH " + scores(flows=False)
+SCORES = "WITH " + scores()
 RANKED = f"""{SCORES}, {COMPOSITE}, ranked AS MATERIALIZED (SELECT period, entity, composite, n_criteria, {trunc_rank("composite", "period")} AS rank FROM comp)""".replace(
     "ranked AS (SELECT *, CASE", "ranked0 AS (SELECT *, CASE").replace("FROM ranked u", "FROM ranked0 u")
 PERIODS = list(range(1995, 2002))
@@ -32,7 +32,7 @@ PERIODS = list(range(1995, 2002))
 def inputs(spark, folder, ranked=True):
     panel = panel_of(spark, folder)
     w = C.two_level_weights(panel)
-    return settle(R.method_scores(panel, w, FIVE, ranked=ranked))
+    return settle(R.method_scores(panel, w, SIX, ranked=ranked))
 
 
 def both(spark, folder):
@@ -119,24 +119,24 @@ def cols(expr, keys, name="{}"):
     return ", ".join(f"{expr.format(k)} AS {name.format(k)}" for k in keys)
 
 
-@query("scores_by_criterion", f"""{SCORES} SELECT {BIG}, criterion, entity, {cols(r("max(score) FILTER (WHERE method = '{}')"), FIVE)}
+@query("scores_by_criterion", f"""{SCORES} SELECT {BIG}, criterion, entity, {cols(r("max(score) FILTER (WHERE method = '{}')"), SIX)}
 FROM scores GROUP BY period, criterion, entity""")
 def scores_by_criterion(spark, folder):
-    return T.scores_by_criterion(inputs(spark, folder, ranked=False), FIVE)
+    return T.scores_by_criterion(inputs(spark, folder, ranked=False), SIX)
 
 
-@query("mean_method_scores", f"""{RANKED}, m AS (SELECT period, entity, {cols("avg(score) FILTER (WHERE method = '{}')", FIVE)} FROM scores GROUP BY ALL)
-SELECT {BIG}, entity, {cols(r("{}"), FIVE)}, {r("composite")} AS composite, rank FROM m JOIN ranked USING (period, entity)""")
+@query("mean_method_scores", f"""{RANKED}, m AS (SELECT period, entity, {cols("avg(score) FILTER (WHERE method = '{}')", SIX)} FROM scores GROUP BY ALL)
+SELECT {BIG}, entity, {cols(r("{}"), SIX)}, {r("composite")} AS composite, rank FROM m JOIN ranked USING (period, entity)""")
 def mean_method_scores(spark, folder):
     scores, ranked = both(spark, folder)
-    return T.mean_method_scores(scores, ranked, FIVE)
+    return T.mean_method_scores(scores, ranked, SIX)
 
 
-@query("top_by_mean_score", f"""{SCORES}, m AS (SELECT period, entity, {cols("avg(score) FILTER (WHERE method = '{}')", FIVE)}, avg(score) AS mean_score FROM scores GROUP BY ALL)
-SELECT * FROM (SELECT {BIG}, entity, {cols(r("{}"), FIVE)}, {r("mean_score")} AS mean_score FROM m
+@query("top_by_mean_score", f"""{SCORES}, m AS (SELECT period, entity, {cols("avg(score) FILTER (WHERE method = '{}')", SIX)}, avg(score) AS mean_score FROM scores GROUP BY ALL)
+SELECT * FROM (SELECT {BIG}, entity, {cols(r("{}"), SIX)}, {r("mean_score")} AS mean_score FROM m
   QUALIFY row_number() OVER (PARTITION BY period ORDER BY round(mean_score, 10) DESC, entity) = 1)""")
 def top_by_mean_score(spark, folder):
-    return T.top_by_mean_score(inputs(spark, folder, ranked=False), FIVE)
+    return T.top_by_mean_score(inputs(spark, folder, ranked=False), SIX)
 
 
 @query("rank_comparison", f"""{SCORES} SELECT {BIG}, entity, {r("avg(rank)")} AS mean_rank, {r("quantile_cont(rank::DOUBLE, 0.5)")} AS median_rank, {r("stddev_samp(rank)")} AS sd_rank,
@@ -164,12 +164,12 @@ mc AS (SELECT period, entity, method, sum(score) / max(n) AS score FROM scores J
 mr AS MATERIALIZED (SELECT *, {min_rank("score", "period, method")} AS rank FROM mc)"""
 
 
-@query("composite_comparison", f"""{COMPARISON} SELECT c.period::BIGINT AS period, c.entity, {cols(r("max(c.score) FILTER (WHERE method = '{}')"), FIVE)}, {cols("max(c.rank) FILTER (WHERE method = '{}')", FIVE, "{}_rank")},
+@query("composite_comparison", f"""{COMPARISON} SELECT c.period::BIGINT AS period, c.entity, {cols(r("max(c.score) FILTER (WHERE method = '{}')"), SIX)}, {cols("max(c.rank) FILTER (WHERE method = '{}')", SIX, "{}_rank")},
   {r("avg(c.score)")} AS mean_method_score, max(c.rank) - min(c.rank) AS rank_range, {r("any_value(composite)")} AS composite, any_value(d.rank) AS composite_rank
 FROM mr c JOIN ranked d USING (period, entity) GROUP BY c.period, c.entity""")
 def composite_comparison(spark, folder):
     scores, ranked = both(spark, folder)
-    return T.composite_comparison(scores, ranked, FIVE)
+    return T.composite_comparison(scores, ranked, SIX)
 
 
 @query("method_against_composite", f"""{COMPARISON}, p AS (SELECT c.period, method, c.rank AS x, d.rank AS y FROM mr c JOIN ranked d USING (period, entity)),
@@ -177,7 +177,7 @@ q AS (SELECT period, method, {avg_rank("x", "period, method")} AS a, {avg_rank("
 SELECT {BIG}, method, {r(CORR.format(a="a", b="b"))} AS rho FROM q GROUP BY period, method""")
 def method_against_composite(spark, folder):
     scores, ranked = both(spark, folder)
-    return T.method_against_composite(T.composite_comparison(scores, ranked, FIVE), FIVE)
+    return T.method_against_composite(T.composite_comparison(scores, ranked, SIX), SIX)
 
 
 GW_ALL = f"""g AS (SELECT 0 AS fit, h.indicator, h.criterion, coalesce(g.weight, 0) AS weight, coalesce(c.weight, 0) AS criterion_weight, coalesce(g.local_weight, 0) AS local_weight
@@ -212,9 +212,9 @@ for _name, _table, _key, _value in (
     )
 
 
-@query("method_ranks_matrix", f"""{SCORES} SELECT {BIG}, criterion, entity, {cols("max(rank) FILTER (WHERE method = '{}')", FIVE)} FROM scores GROUP BY period, criterion, entity""")
+@query("method_ranks_matrix", f"""{SCORES} SELECT {BIG}, criterion, entity, {cols("max(rank) FILTER (WHERE method = '{}')", SIX)} FROM scores GROUP BY period, criterion, entity""")
 def method_ranks_matrix(spark, folder):
-    return T.wide(inputs(spark, folder), ["period", "criterion", "entity"], "method", "rank", FIVE)
+    return T.wide(inputs(spark, folder), ["period", "criterion", "entity"], "method", "rank", SIX)
 
 
 # ------------------------------------------------------ tables behind charts
@@ -224,7 +224,7 @@ def method_ranks_matrix(spark, folder):
 g AS (SELECT *, {avg_rank("rr", "method", False)} AS g FROM i)
 SELECT a.method AS a, b.method AS b, {r(CORR.format(a="a.g", b="b.g"))} AS rho FROM g a JOIN g b USING (period, criterion, entity) WHERE a.method < b.method GROUP BY ALL""")
 def method_agreement(spark, folder):
-    return T.method_agreement(inputs(spark, folder, ranked=False), FIVE)
+    return T.method_agreement(inputs(spark, folder, ranked=False), SIX)
 
 
 @query("stability_across_criteria", f"""{SCORES}, p AS (SELECT a.period, a.method, a.criterion AS ca, b.criterion AS cb, round(a.score, 10) AS x, round(b.score, 10) AS y
@@ -482,7 +482,7 @@ def ranking_robustness(spark, folder):
 def scenarios(spark, folder, n=100):
     panel = panel_of(spark, folder)
     w = C.two_level_weights(panel)
-    scores = settle(R.method_scores(panel, w, FIVE, ranked=False))
+    scores = settle(R.method_scores(panel, w, SIX, ranked=False))
     means = settle(B.criterion_scores(scores))
     return scores, settle(B.reweigh(means, S.scenario_weights(w.criteria_long(), 7, n)))
 

@@ -289,7 +289,7 @@ def forecast_ranking(spark, folder):
     matrix = Q.prediction_matrix(last.withColumn("period", F.col("period") + 1), panel.indicators)
     extended = panel.with_data(settle(Q.with_history(panel.data, matrix)))
     w = two_level_weights(panel)
-    scores = settle(R.method_scores(extended, w, ("topsis", "vikor", "copras", "edas", "base"), ranked=False))
+    scores = settle(R.method_scores(extended, w, ranked=False))
     return R.composite_ranks(scores).where("period >= 2001")
 
 

@@ -131,7 +131,7 @@ def avg_rank(value: str, part: str, desc: bool = True) -> str:
     return f"(rank() OVER ({order}) + (count(*) OVER (PARTITION BY {part}, {value}) - 1) / 2.0::DOUBLE)"
 
 
-FIVE = ["topsis", "vikor", "copras", "edas", "base"]
+SIX = ["topsis", "vikor", "promethee", "copras", "edas", "base"]
 
 
 def scores(per_period: bool = False, flows: bool = True) -> str:

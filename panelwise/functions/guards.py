@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 SCORE_DIGITS = 10
 
 
+def join_groups(df: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a table of groups to rows; a NULL key is a group like any other."""
+    renamed = table.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"_key_{k}"]) for k in keys])
+    return df.join(renamed, same, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def lit(x: float) -> Column:
     return F.lit(float(x))
 

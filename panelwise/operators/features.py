@@ -6,6 +6,7 @@ dense grid: one shuffle by entity serves the grid and every feature.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -107,19 +108,42 @@ def momentum_features(grid: DataFrame, columns: Sequence[str], cut: int | None =
     return moved.withColumns(more).select(ENTITY, PERIOD, *out, *more)
 
 
+def with_decayed_means(grid: DataFrame, means: dict[str, tuple[str, float]]) -> DataFrame:
+    """Add ``{name: (column, base)}``: the mean of the column so far, a value ``k`` periods back weighing
+    ``base ** -k``; only on rows that have a value.
+
+    Powers are taken inside blocks of periods so short that they stay finite, and the block before joins with its
+    factor; what lies further back weighs less than a double can tell."""
+    inner, late = {}, {}
+    for name, (c, base) in means.items():
+        size = int(150 / math.log10(base))
+        block = F.floor(F.col("position") / size)
+        inside = Window.partitionBy(ENTITY, block).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+        up = F.when(F.col(c).isNotNull(), F.pow(lit(base), (F.col("position") % size).cast("double")))
+        inner[f"{name}_sums"] = F.when(
+            F.col(c).isNotNull(), F.struct("position", block.alias("block"), F.sum(F.col(c) * up).over(inside).alias("top"), F.sum(up).over(inside).alias("all"))
+        )
+        earlier = Window.partitionBy(ENTITY).orderBy(block).rangeBetween(Window.unboundedPreceding, -1)
+        past = F.max(f"{name}_sums").over(earlier)
+        now = F.col(f"{name}_sums")
+        factor = F.pow(lit(base), -((now["block"] - past["block"]) * size).cast("double"))
+        carry = lambda part, past=past, factor=factor: F.coalesce(past[part] * factor, lit(0))
+        late[name] = (now["top"] + carry("top")) / (now["all"] + carry("all"))
+    return grid.withColumns(inner).withColumns(late).drop(*inner)
+
+
 def trend_features(grid: DataFrame, columns: Sequence[str], spans: Sequence[int] = SPANS) -> DataFrame:
     """Slope to date (3 values at least), exponentially weighted means, expanding mean.
 
-    Weights count periods, so a gap keeps its distance. The powers stay finite for
-    about a thousand periods."""
+    Weights count periods, so a gap keeps its distance."""
     w = over_time().rowsBetween(Window.unboundedPreceding, 0)
     x = F.col("position").cast("double")
     out = {}
+    grid = with_decayed_means(grid, {f"_{c}_ewma{s}": (c, (s + 1) / (s - 1)) for c in columns for s in spans})
     for c in columns:
         out[f"{c}_trend"] = F.when(F.count(c).over(w) >= 3, F.regr_slope(F.col(c), x).over(w))
         for s in spans:
-            up = F.when(F.col(c).isNotNull(), F.pow(lit((s + 1) / (s - 1)), x))
-            out[f"{c}_ewma{s}"] = ratio(F.sum(F.col(c) * up).over(w), F.sum(up).over(w))
+            out[f"{c}_ewma{s}"] = F.last(f"_{c}_ewma{s}", ignorenulls=True).over(w)
         out[f"{c}_expanding"] = F.avg(c).over(w)
     return grid.select(ENTITY, PERIOD, *[v.alias(n) for n, v in out.items()])
 
@@ -234,14 +258,13 @@ def baseline_forecasts(grid: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     An entity's last value is its own; see :func:`global_last` for one value for all."""
     w = over_time().rowsBetween(Window.unboundedPreceding, -1)
-    x = F.col("position").cast("double")
     cells = []
+    grid = with_decayed_means(grid, {f"_{c}_so_far": (c, 2.0) for c in columns})
     for c in columns:
-        up = F.when(F.col(c).isNotNull(), F.pow(lit(2), x))
         for name, value in (
             ("last", F.last(c, ignorenulls=True).over(w)),
             ("mean", F.avg(c).over(w)),
-            ("ewma", ratio(F.sum(F.col(c) * up).over(w), F.sum(up).over(w))),
+            ("ewma", F.last(f"_{c}_so_far", ignorenulls=True).over(w)),
         ):
             cells.append((c, name, value))
     wide = grid.select(ENTITY, PERIOD, *columns, *[v.alias(f"_{c}_{m}") for c, m, v in cells])

@@ -33,8 +33,13 @@ class Fitted:
     sigma: float = 0.0
 
 
-def _vectors(df: DataFrame, x: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(x), outputCol="_x", handleInvalid="skip").transform(df)
+def _vectors(df: DataFrame, x: Sequence[str], invalid: str = "skip") -> DataFrame:
+    return VectorAssembler(inputCols=list(x), outputCol="_x", handleInvalid=invalid).transform(df)
+
+
+def complete(x: Sequence[str]) -> Column:
+    """Whether a row has a number in every feature."""
+    return F.forall(F.array(*[F.col(c).cast("double") for c in x]), lambda v: v.isNotNull() & ~F.isnan(v))
 
 
 def _share(values) -> list[float]:
@@ -47,7 +52,12 @@ def _ml(name: str, estimator, df: DataFrame, x: Sequence[str], y: str) -> Fitted
         _vectors(df.where(F.col(y).isNotNull()), x)
     )
     raw = model.featureImportances.toArray() if hasattr(model, "featureImportances") else model.coefficients.toArray()
-    return Fitted(name, lambda new: model.transform(_vectors(new, x)).drop("_x"), dict(zip(x, _share(raw))))
+
+    def predict(new: DataFrame) -> DataFrame:
+        """Every row; a row without all features has no prediction."""
+        return model.transform(_vectors(new, x, "keep")).drop("_x").withColumn("yhat", F.when(complete(x), F.col("yhat")))
+
+    return Fitted(name, predict, dict(zip(x, _share(raw))))
 
 
 def elastic_net(df: DataFrame, x: Sequence[str], y: str, penalty: float = 0.01, l1: float = 0.5) -> Fitted:

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelwise.functions.guards import lit, ratio
+from panelwise.functions.guards import join_groups, lit, ratio
 from panelwise.session import settle
 
 WINDOW_ROWS = 1_000_000
@@ -27,11 +27,11 @@ def largest_group(df: DataFrame, group: Sequence[str]) -> int:
 
 
 def _with_buckets(df: DataFrame, group: list[str], key: str, biggest: int, limit: int) -> DataFrame:
-    n_cuts = min(4096, 2 * math.ceil(biggest / limit))
+    n_cuts = 2 * math.ceil(biggest / limit)
     levels = [i / n_cuts for i in range(1, n_cuts)]
     cuts = settle(df.groupBy(*group).agg(F.percentile_approx(key, levels, 10_000).alias("_cuts")))
     below = F.size(F.filter("_cuts", lambda c: c < F.col(key)))
-    return df.join(cuts, group).withColumn("_bucket", below).drop("_cuts")
+    return join_groups(df, cuts, group, "inner").withColumn("_bucket", below).drop("_cuts")
 
 
 def running_sums(
@@ -61,7 +61,7 @@ def running_sums(
     )
     w = Window.partitionBy(*slot).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     inside = parts.withColumns({n: F.sum(f"_in_{n}").over(w) for n in sums})
-    joined = inside.join(offsets, slot)
+    joined = join_groups(inside, offsets, slot, "inner")
     done = joined.withColumns({n: F.col(n) + F.coalesce(F.col(f"_before_{n}"), F.lit(0)) for n in sums})
     return done.drop("_bucket", *[f"_in_{n}" for n in sums], *[f"_before_{n}" for n in sums])
 
@@ -92,11 +92,8 @@ def add_ranks(
             ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
             df = df.withColumn(name, F.when(F.col(value).isNotNull(), _rank_of(first, ties, method)))
         else:
-            df = df.join(
-                rank_table(df, group, value, descending, method, limit).withColumnRenamed("_rank", name),
-                [*group, value],
-                "left",
-            )
+            table = rank_table(df, group, value, descending, method, limit).withColumnRenamed("_rank", name)
+            df = join_groups(df, table, [*group, value])
     return df
 
 
@@ -156,7 +153,7 @@ def group_quantiles(
     counts = settle(value_counts(src, keys, value))
     run = running_sums(counts, keys, value, {"_upto": F.col("_n")}, limit)
     sizes = settle(counts.groupBy(*keys).agg(F.sum("_n").alias("n")))
-    at = run.join(sizes, keys).withColumn("_from", F.col("_upto") - F.col("_n"))
+    at = join_groups(run, sizes, keys, "inner").withColumn("_from", F.col("_upto") - F.col("_n"))
     aggs = [F.first("n").alias("n")]
     for name, level in levels.items():
         q = lit(level) if isinstance(level, (int, float)) else level

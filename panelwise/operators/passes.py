@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from panelwise.functions.guards import join_groups
 from panelwise.session import settle
 
 
@@ -88,7 +89,7 @@ def attach(df: DataFrame, table: DataFrame, by: Sequence[str], how: str = "left"
     No broadcast hint: the planner knows the file size and broadcasts below
     ``spark.sql.autoBroadcastJoinThreshold``, else sort-merges with AQE's skew split.
     """
-    return df.join(table, list(by), how)
+    return join_groups(df, table, list(by), how)
 
 
 def with_stats(df: DataFrame, by: Sequence[str], stats: dict[str, Column]) -> DataFrame:

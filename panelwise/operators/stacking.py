@@ -274,14 +274,15 @@ def shift_statistic(
 
 def importance_weights(df: DataFrame, columns: Sequence[str], label: str, low: float = 0.1, high: float = 10.0) -> DataFrame:
     """Density ratio p / (1 - p) of a logistic classifier of new (1) against old (0) rows,
-    for the old rows, clipped, with mean 1."""
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="skip").transform(df)
-    model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.01).fit(vectors.withColumn("_y", F.col(label).cast("double")))
+    for the old rows, clipped, with mean 1. A row without all features teaches nothing and has weight 1."""
+    whole = F.forall(F.array(*[F.col(c).cast("double") for c in columns]), lambda v: v.isNotNull() & ~F.isnan(v))
+    vectors = VectorAssembler(inputCols=list(columns), outputCol="_x", handleInvalid="keep").transform(df.withColumn("_whole", whole))
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.01).fit(vectors.where("_whole").withColumn("_y", F.col(label).cast("double")))
     p = vector_to_array("probability")[1]
-    rows = model.transform(vectors).where(~F.col(label).cast("boolean")).withColumn("_w", clip(ratio(p, 1 - p), low, high))
+    rows = model.transform(vectors).where(~F.col(label).cast("boolean")).withColumn("_w", F.when(F.col("_whole"), clip(ratio(p, 1 - p), low, high)))
     rows = settle(rows.select(*df.columns, "_w"))
     mean = rows.agg(F.avg("_w")).scalar()
-    return rows.select(*df.columns, (F.col("_w") / mean).alias("importance_weight"))
+    return rows.select(*df.columns, F.coalesce(F.col("_w") / mean, F.lit(1.0)).alias("importance_weight"))
 
 
 def fold_scores(df: DataFrame) -> DataFrame:

@@ -23,29 +23,31 @@ def read_period_files(
     entity: str = "entity",
     pattern: str = r"(\d{4})\.csv$",
 ) -> Panel:
-    """One CSV per period, the period in the file name.
+    """One CSV per period, the period in the file name; its first line is the header.
 
-    Columns may differ between files: each file's header row is read with its
-    data as plain lines, so a column absent in a period is NULL there. All files
-    are scanned in one job.
+    Columns may differ between files in number, order and name: files with equal
+    headers are read together with that schema, and a column absent in a period is
+    NULL there. The driver sees file names and header lines only, one per period.
     """
-    headers = spark.read.option("header", False).csv(f"{folder}/[0-9][0-9][0-9][0-9].csv")
-    width = len(headers.columns)
-    cells = F.array(*[F.trim(F.coalesce(F.col(f"_c{i}"), F.lit(""))) for i in range(width)])
-    period = F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("int")
-    rows = headers.select(period.alias("period"), cells.alias("cells")).where(F.col("period").isNotNull())
-    # one header row per period; the rows of a period meet it through a join on the period
-    names = rows.where(F.array_contains("cells", entity)).select("period", F.col("cells").alias("names"))
-    body = rows.join(names, "period").where(F.col("cells") != F.col("names"))
-    by_name = body.select("period", F.map_from_arrays(_numbered("names"), "cells").alias("m"))
-    values = [clean(F.expr(f"try_cast(m['{c}'] AS DOUBLE)")).alias(c) for c in hierarchy.indicators]
-    data = by_name.select(F.col("m").getItem(entity).alias("entity"), "period", *values)
-    return Panel(data.where(F.col("entity") != ""), hierarchy)
-
-
-def _numbered(names: str):
-    """Unnamed columns get their position, so that the map keys are unique."""
-    return F.transform(F.col(names), lambda n, i: F.when(n == "", F.concat(F.lit("_c"), i)).otherwise(n))
+    own = hierarchy.indicators
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    for file in spark.read.text(f"{folder}/[0-9][0-9][0-9][0-9].csv").inputFiles():
+        names = tuple(c.strip() for c in spark.read.option("header", True).csv(file).columns)
+        layouts.setdefault(names, []).append(file)
+    data = None
+    for names, files in sorted(layouts.items()):
+        if entity not in names:
+            raise ValueError(f"no column {entity!r} in {files}")
+        places = {n: f"_c{i}" for i, n in reversed(list(enumerate(names)))}
+        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+        rows = spark.read.option("header", True).schema(schema).csv(files)
+        period = F.regexp_extract(F.col("_metadata.file_name"), pattern, 1).cast("int")
+        values = [(to_number(places[c]) if c in places else F.lit(None).cast("double")).alias(c) for c in own]
+        part = rows.select(F.trim(F.col(places[entity])).alias("entity"), period.alias("period"), *values)
+        data = part if data is None else data.unionByName(part)
+    if data is None:
+        raise ValueError(f"no file named by a year in {folder}")
+    return Panel(data.where((F.col("entity") != "") & F.col("period").isNotNull()), hierarchy)
 
 
 def check_unique(panel: Panel) -> Panel:
