@@ -47,26 +47,22 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.full(blocks, BLOCK)
     if blocks:
         sizes[-1] = n - (blocks - 1) * BLOCK
-    order = [s for s in range(16) if s != 1]
-    #: run[s][b, i]: how many ids from i on are narrow enough for selector s
-    runs = {}
-    top = int(ids.max()) if n else 0
-    for s in order:
-        if s != 15 and s and top >> BITS[s] == 0 and any(BITS[t] < BITS[s] and top >> BITS[t] == 0 for t in order):
-            continue  # a denser selector always fits too
-        bad = (table[:, :BLOCK] >> np.uint64(BITS[s])) > 0
-        place = np.where(bad, np.arange(BLOCK, dtype=np.int16), np.int16(BLOCK))
-        runs[s] = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1] - np.arange(BLOCK, dtype=np.int16)
+    #: bits of an id, or more where a double cannot tell; run[b, i]: how many ids from i on fit each selector tried
+    width = np.frexp(table[:, :BLOCK].astype(np.float64))[1].astype(np.uint8)
+    top, place, runs, tried = int(width.max(initial=0)), np.arange(BLOCK, dtype=np.uint8), [], []
+    for s in (s for s in range(16) if s != 1):
+        bad = np.where(width > BITS[s], place, np.uint8(BLOCK))
+        runs.append(np.minimum.accumulate(bad[:, ::-1], axis=1)[:, ::-1] - place)
+        tried.append(s)
+        if BITS[s] >= top:
+            break  # it always fits; wider ones are never better
+    run, want, tried = np.stack(runs, axis=-1), np.minimum(COUNTS, BLOCK).astype(np.uint8)[tried], np.array([*tried, 1])
     at, parts, owners = np.zeros(blocks, np.int64), [], []
     live = np.flatnonzero(at < sizes)
     while len(live):
         here, left = at[live], sizes[live] - at[live]
-        chosen = np.ones(len(live), np.int64)
-        open_ = np.ones(len(live), bool)
-        for s, run in runs.items():
-            fits = open_ & (run[live, here] >= np.minimum(COUNTS[s], left))
-            chosen[fits] = s
-            open_ &= ~fits
+        fits = run[live, here] >= np.minimum(want, left[:, None].astype(np.uint8))
+        chosen = tried[np.where(fits.any(axis=1), np.argmax(fits, axis=1), len(tried) - 1)]
         for s in np.unique(chosen):
             who = live[chosen == s]
             if s == 1:
