@@ -11,7 +11,7 @@ from catalog.ranking import (
 )
 from catalog.registry import query
 from oracle.base import (
-    COMPOSITE, CRITERIA, SIX, INDICATORS, avg_rank, min_rank, pair_flows, r, scores, trunc_rank, weights,
+    COMPOSITE, CRITERIA, SIX, INDICATORS, avg_rank, min_rank, noise, pair_flows, r, scores, trunc_rank, weights,
 )
 from panelwise.functions.guards import score_key
 from panelwise.operators import combine as B
@@ -451,28 +451,54 @@ def compare_composites(spark, folder):
 # ------------------------- perturbation: noise by hash, checked by invariants
 
 
-@query("weight_sensitivity_tiers")
+DRAWS = f"""{YW}, varied AS (SELECT fit FROM yc GROUP BY fit HAVING max(weight) - min(weight) > 1e-8),
+drawn AS MATERIALIZED (SELECT tier, replicate, fit, criterion, weight, weight * (1 + eps * (2 * {noise(7, "tier", "replicate", "fit", "criterion")} - 1)) AS raw
+  FROM yc JOIN varied USING (fit), (VALUES ('conservative', 0.05::DOUBLE), ('moderate', 0.15::DOUBLE), ('aggressive', 0.5::DOUBLE)) t(tier, eps), range(1, 51) x(replicate)),
+moved AS (SELECT *, abs(raw - weight) AS delta, raw / sum(raw) OVER (PARTITION BY tier, replicate, fit) AS moved FROM drawn),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tier, replicate, fit ORDER BY weight, criterion)::DOUBLE AS a,
+  row_number() OVER (PARTITION BY tier, replicate, fit ORDER BY moved, criterion)::DOUBLE AS b FROM moved),
+runs AS MATERIALIZED (SELECT tier, replicate, fit, least(greatest(1 - coalesce({CORR.format(a="a", b="b")}, 1), 0), 1) AS disruption, avg(delta) AS delta FROM placed GROUP BY ALL)"""
+STATS = ", ".join(f"{r(f'{f}({c}{q})')} AS {n}_{c}" for c in ("disruption", "delta") for n, f, q in (
+    ("mean", "avg", ""), ("sd", "stddev_pop", ""), ("min", "min", ""), ("max", "max", ""), ("q95", "quantile_cont", ", 0.95")))
+
+
+@query("weight_sensitivity_tiers", f"""{DRAWS} SELECT tier, {r("avg((disruption <= 0.1)::INT::DOUBLE)")} AS robustness, {STATS}, count(*) AS n_runs FROM runs GROUP BY tier""")
 def weight_sensitivity_tiers(spark, folder):
     return S.weight_sensitivity(settle(yearly(spark, folder).criteria_long()), seed=7)[0]
 
 
-@query("weight_sensitivity_by_criterion")
+@query("weight_sensitivity_by_criterion", f"""{DRAWS} SELECT tier, criterion,
+  {r("sum((a <> b)::INT)::DOUBLE / (50 * (SELECT count(DISTINCT fit) FROM yc))")} AS sensitivity FROM placed GROUP BY tier, criterion""")
 def weight_sensitivity_by_criterion(spark, folder):
     return S.weight_sensitivity(settle(yearly(spark, folder).criteria_long()), seed=7)[1]
 
 
-@query("criterion_noise_sensitivity")
+NOISE = f"""nm AS (SELECT period, entity, criterion, avg(score) AS mean FROM scores GROUP BY ALL),
+nx AS (SELECT period, criterion, replicate, round(mean, 10) AS x,
+  greatest(mean + 0.15 * (2 * {noise(7, "period", "criterion", "entity", "replicate")} - 1), 0) AS y FROM nm, range(1, 51) t(replicate)),
+nr AS (SELECT period, criterion, replicate, {avg_rank("x", "period, criterion, replicate")} AS a, {avg_rank("y", "period, criterion, replicate")} AS b FROM nx),
+nc AS (SELECT period, criterion, replicate, {CORR.format(a="a", b="b")} AS rho FROM nr GROUP BY ALL),
+nl AS (SELECT period, criterion, avg(1 - greatest(coalesce(rho, 0), 0)) AS loss FROM nc GROUP BY ALL),
+ns AS MATERIALIZED (SELECT period, criterion, CASE WHEN max(loss) OVER (PARTITION BY period) > 0 THEN loss / max(loss) OVER (PARTITION BY period) ELSE loss END AS sensitivity FROM nl)"""
+
+
+@query("criterion_noise_sensitivity", f"""{SCORES}, {NOISE} SELECT {BIG}, criterion, {r("sensitivity")} AS sensitivity FROM ns""")
 def criterion_noise_sensitivity(spark, folder):
     return S.criterion_sensitivity(settle(B.criterion_scores(inputs(spark, folder, ranked=False))), seed=7)
 
 
-@query("key_weight_sensitivity")
+@query("key_weight_sensitivity", f"""{YW}, d AS (SELECT fit, criterion, avg(abs(0.15 * (2 * {noise(7, "fit", "criterion", "draw")} - 1)) * weight) AS m
+  FROM yc, range(1, 101) t(draw) GROUP BY ALL),
+s AS (SELECT fit, criterion, CASE WHEN max(m) OVER (PARTITION BY fit) > 0 THEN m / max(m) OVER (PARTITION BY fit) ELSE m END AS sensitivity FROM d)
+SELECT fit::BIGINT AS fit, criterion, {r("sensitivity")} AS sensitivity, CASE WHEN sensitivity >= 0.3 THEN 'High' WHEN sensitivity >= 0.15 THEN 'Medium' ELSE 'Low' END AS level FROM s""")
 def key_weight_sensitivity(spark, folder):
     out = S.key_weight_sensitivity(yearly(spark, folder).criteria_long(), seed=7)
     return out.withColumn("level", T.level(F.col("sensitivity")))
 
 
-@query("ranking_robustness")
+@query("ranking_robustness", f"""{CONSISTENCY}, {NOISE}, na AS (SELECT period, least(greatest(1 - avg(sensitivity), 0), 1) AS a FROM ns GROUP BY period),
+nb AS (SELECT period, least(greatest(avg(rho) * 0.5 + 0.5, 0), 1) AS b FROM cc GROUP BY period)
+SELECT {BIG}, {r("(a + b) / 2")} AS robustness FROM na JOIN nb USING (period)""")
 def ranking_robustness(spark, folder):
     scores = inputs(spark, folder, ranked=False)
     noise = S.criterion_sensitivity(settle(B.criterion_scores(scores)), seed=7)

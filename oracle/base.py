@@ -17,6 +17,12 @@ def r(expr: str, digits: int = 6) -> str:
     return f"(round({expr}, {digits}) + 0.0)"
 
 
+def noise(seed: int, *keys: str) -> str:
+    """The uniform number of (seed, keys), as in ``functions/noise.py``."""
+    text = ", ".join(f"coalesce(({k})::VARCHAR, '')" for k in keys)
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', {text})), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
+
+
 def panel(gaps: bool = True) -> str:
     small = "FILTER (WHERE l_quantity <= 2)" if gaps else ""
     silent = "(period = 1999 AND bulk < 49)" if gaps else "false"

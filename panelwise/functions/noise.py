@@ -9,9 +9,10 @@ from pyspark.sql import Column, functions as F
 
 
 def uniform(seed: int, *keys: Column) -> Column:
-    """Uniform on [0, 1): the top 53 bits of a 64-bit hash of (seed, keys)."""
-    h = F.xxhash64(F.lit(seed), *keys)
-    return F.shiftrightunsigned(h, 11).cast("double") * F.lit(2.0**-53)
+    """Uniform on [0, 1): the first 52 bits of the MD5 of seed and keys joined by bars (a NULL key is empty), which
+    other engines can compute as well. Keys are strings or integers."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") * F.lit(2.0**-52)
 
 
 def normal(seed: int, *keys: Column) -> Column:

@@ -202,13 +202,9 @@ def criterion_sensitivity(
     )
 
 
-def key_weight_sensitivity(weights: DataFrame, seed: int, spread: float = 0.15, simulations: int = 1000) -> DataFrame:
-    """Mean |delta| x weight per key over uniform draws, scaled by the largest.
-
-    Draws per key: simulations / number of keys + 1, between 10 and 100."""
-    keys = F.count(F.lit(1)).over(Window.partitionBy("fit"))
-    n = F.greatest(F.lit(10), F.least(F.lit(100), F.floor(F.lit(simulations) / keys) + 1)).cast("int")
-    rows = weights.withColumn("_n", n).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+def key_weight_sensitivity(weights: DataFrame, seed: int, spread: float = 0.15, draws: int = 100) -> DataFrame:
+    """Mean |delta| x weight per key over uniform draws, scaled by the largest."""
+    rows = weights.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     d = F.abs(spread * (2 * uniform(seed, F.col("fit"), F.col("criterion"), F.col("draw")) - 1))
     mean = rows.groupBy("fit", "criterion").agg(F.avg(d * F.col("weight")).alias("_m"))
     top = F.max("_m").over(Window.partitionBy("fit"))
