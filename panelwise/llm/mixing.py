@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import settle
+
 BUCKETS = 1 << 16
 
 
@@ -53,8 +55,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     ``copies`` inverts the Poisson distribution with the source's mean rate at a hash of seed and doc_id, so it
     depends neither on partitions nor on a task that runs twice; rows with equal doc_id (also null) and source are drawn alike and
     each kept. A null source is a source of its own; a null text has size 1. Order: MD5 of seed, doc_id and copy; equal
-    rows in any order. Only built-in functions; the table of sources is joined, so a hot source is a skewed join that
-    Spark splits or a broadcast that it sizes itself; rows are shuffled once, by buckets of the random order."""
+    rows in any order. Only built-in functions. The table of sources is written first, so that Spark knows its size: it
+    broadcasts it below its own threshold, else a hot source is a skewed join that it splits. Rows are shuffled by buckets
+    of the random order."""
     id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.select(
         F.struct(*(columns or ["*"])).alias("row"),
@@ -62,10 +65,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"),
         F.col("source").isNull().alias("_none"),
     )
-    rates = source_rates(docs, weights, epochs, unlisted).select(F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"), "rate", "parts", "sums")
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, j: n + F.size(F.filter("sums", lambda s: s <= fraction(F.lit(str(seed)), F.col("_id"), j.cast("string"))))
-    )
+    rates = settle(source_rates(docs, weights, epochs, unlisted)).select(F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"), "rate", "parts", "sums")
+    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: fraction(F.lit(str(seed)), F.col("_id"), j.cast("string")))
+    drawn = F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter("sums", lambda s: s <= u)))
     counted = rows.join(rates, ["_source", "_none"]).select("row", "_id", "rate", drawn.alias("copies"))
     copied = counted.filter("copies > 0").select("row", "_id", "rate", "copies", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     ordered = copied.withColumn("_key", F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.col("_id"), F.col("copy").cast("string"))))
