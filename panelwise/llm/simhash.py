@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import LOWER_BYTES, connected, settle, slices
 
@@ -35,16 +35,21 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(set_ * 2 > len(starts)).tobytes(), "big", signed=True)
 
 
+def row_hash() -> Column:
+    """With doc_id, tells rows apart whose id is null or repeated."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("hash")
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fingerprint (signed 64 bits) of every text; a null text has no words."""
+    """doc_id, hash (see :func:`row_hash`), fingerprint (signed 64 bits) of every text; a null text has no words."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = [fingerprint(x, words) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hash"), pa.array(found, pa.int64())], names=["doc_id", "hash", "fingerprint"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(read, "doc_id long, fingerprint long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash(), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(read, "doc_id long, hash long, fingerprint long")
 
 
 def masks(bits: list[int], distance: int, blocks: int) -> list[int]:
@@ -151,6 +156,14 @@ def links(prints: DataFrame, distance: int = 2, blocks: int | None = None, bucke
     return found
 
 
+def rooted(prints: DataFrame, least: Column, distance: int, blocks: int | None = None) -> DataFrame:
+    """fingerprint, least, root of every fingerprint in ``prints``: ``least`` is an aggregate over its rows, ``root`` names
+    its component."""
+    classes = settle(prints.groupBy("fingerprint").agg(least.alias("least")))
+    roots = settle(connected(links(classes, distance, blocks)))
+    return classes.join(roots, classes["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, blocks: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id reachable over fingerprints that differ
     in at most ``distance`` bits.
@@ -159,23 +172,30 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, blocks:
     fingerprints are one class, so copies meet as counts, not as pairs; every row of the input is returned, also
     repeated ones. Null doc_ids are no component's id unless it has no other (then null). Other columns are ignored.
     """
-    prints = settle(fingerprints(docs, words))
-    classes = settle(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
-    roots = settle(connected(links(classes, distance, blocks)))
-    named = classes.join(roots, classes["fingerprint"] == roots["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    prints = settle(fingerprints(docs, words).select("doc_id", "fingerprint"))
+    named = rooted(prints, F.min("doc_id"), distance, blocks)
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.join(least, "root").select("fingerprint", "component_id")
     return prints.join(labels, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def first_row() -> Column:
+    """The key of a group's row with the smallest (doc_id, hash), null doc_ids last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash"))
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key (``least``, see :func:`first_row`) is in ``chosen``, each once, with all columns."""
+    named = lambda c: F.coalesce(c.cast("long"), F.lit(-(1 << 63))).alias("id")
+    rows = docs.select(F.struct("*").alias("row"), named(F.col("doc_id")), row_hash())
+    keys = chosen.select(named(F.col("least.doc_id")), F.col("least.hash").alias("hash"))
+    return rows.join(keys, ["id", "hash"]).dropDuplicates(["id", "hash"]).select("row.*")
+
+
 def keep_one(docs: DataFrame, words: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row with the smallest doc_id stays (of rows
-    that share a doc_id, which count as one document, the one whose text has the smallest hash, once). All columns are
-    returned; only small keys and then the rows that stay, once, are shuffled."""
-    least = F.lit(-(1 << 63))
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), least).alias("id"), F.xxhash64("doc_id", "text").alias("hash"))
-    found = near_duplicates(docs, words, distance)
-    keyed = settle(found.select(F.coalesce("doc_id", least).alias("id"), "component_id").distinct())
-    chosen = keyed.filter(F.col("id") == F.coalesce("component_id", least)).select("id").distinct()
-    first = rows.select("id", "hash").join(chosen, "id").groupBy("id").agg(F.min("hash").alias("hash"))
-    return rows.join(first, ["id", "hash"]).dropDuplicates(["id", "hash"]).select("row.*")
+    """The rows of ``docs`` without near-duplicates: of each component one row stays, the one with the smallest (doc_id,
+    hash of id and text), null doc_ids last. A doc_id may be null or shared by different texts: rows are told apart by
+    id and text, so every component keeps a row. All columns are returned; only small keys and then the rows that stay,
+    once, are shuffled."""
+    prints = settle(fingerprints(docs, words))
+    return rows_of(docs, rooted(prints, first_row(), distance).groupBy("root").agg(F.min("least").alias("least")))

@@ -88,3 +88,13 @@ def test_keep_one_returns_whole_rows(spark):
     want = {r["component_id"] for r in near_duplicates(docs).collect()}
     assert sorted(i for i in ids if i is not None) == sorted(i for i in want if i is not None)
     assert keep_one(fixtures.empty(spark)).count() == 0 and near_duplicates(fixtures.empty(spark)).count() == 0
+
+
+def test_keep_one_keeps_a_row_of_every_group_whatever_its_id(spark):
+    rows = [(None, fixtures.prose(i, 60)) for i in range(200, 205)] + [(None, fixtures.prose(200, 60)), (None, None), (None, "")]
+    rows += [(7, fixtures.prose(300, 60)), (7, fixtures.prose(301, 60)), (7, fixtures.prose(301, 60)), (9, fixtures.prose(201, 60)), (3, fixtures.prose(301, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [(r["doc_id"], r["text"] or "") for r in keep_one(docs).collect()]
+    want = [(None, ""), (None, fixtures.prose(200, 60)), (9, fixtures.prose(201, 60)), *[(None, fixtures.prose(i, 60)) for i in (202, 203, 204)]]
+    want += [(7, fixtures.prose(300, 60)), (3, fixtures.prose(301, 60))]
+    assert sorted(map(str, kept)) == sorted(map(str, want))
