@@ -1,5 +1,7 @@
 """Reduction, models, stacking, the forecast run and its checks."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from catalog.combination import CORR, both
@@ -178,7 +180,7 @@ def stack_ridge(spark, folder):
 
 @query("stack_log_score")
 def stack_log_score(spark, folder):
-    return S.log_score_weights(forecasts(spark, folder), BASE, rounds=5)
+    return S.log_score_weights(forecasts(spark, folder), BASE)
 
 
 @query("stack_weight_spread")
@@ -215,10 +217,24 @@ def training(spark, folder):
     return Q.feature_stage(grid, CRITERIA)
 
 
+#: More folds than there are periods: every period after the first training ones is validated.
+ALL_FOLDS = 1_000
+
+
+def each_component(make):
+    """``make(component)`` of every component, stacked under a ``component`` column."""
+    parts = [make(c).withColumn("component", F.lit(c)) for c in CRITERIA]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def fitted(fit, spark, folder, **options):
     features, names = training(spark, folder)
-    model = fit(features.where("y_K1 IS NOT NULL"), names, "y_K1", **options)
-    return model.predict(features).select("entity", "period", F.col("y_K1").alias("y"), "yhat")
+
+    def one(c):
+        model = fit(features.where(f"y_{c} IS NOT NULL"), names, f"y_{c}", **options)
+        return model.predict(features).select("entity", "period", F.col(f"y_{c}").alias("y"), "yhat")
+
+    return each_component(one)
 
 
 @query("fit_bayesian_ridge")
@@ -235,13 +251,12 @@ def fit_elastic_net(spark, folder):
 def elastic_net_grid(spark, folder):
     """Walk-forward scores of a penalty grid."""
     features, names = training(spark, folder)
-    grid = [{"penalty": p, "l1": l} for p in (0.001, 0.1) for l in (0.1, 0.9)]
-    return M.grid_search(M.elastic_net, grid, features, names, "y_K1", max_folds=2)[0]
+    return each_component(lambda c: M.elastic_net_cv(features, names, f"y_{c}", max_folds=ALL_FOLDS)[1])
 
 
 @query("fit_boosted_trees")
 def fit_boosted_trees(spark, folder):
-    return fitted(M.boosted_trees, spark, folder, iterations=10)
+    return fitted(M.boosted_trees, spark, folder)
 
 
 @query("fit_fourier_ridge")
@@ -253,15 +268,19 @@ def fit_fourier_ridge(spark, folder):
 def quantile_forest(spark, folder):
     """Mean, median and a 90 % band of the next period's value from leaf distributions."""
     features, names = training(spark, folder)
-    forest = M.quantile_forest(features, names, "y_K1", ["entity", "period"], trees=10)
-    return forest.quantiles(features, ["entity", "period"], {"q05": 0.05, "median": 0.5, "q95": 0.95})
+
+    def one(c):
+        forest = M.quantile_forest(features, names, f"y_{c}", ["entity", "period"])
+        return forest.quantiles(features, ["entity", "period"], {"q05": 0.05, "median": 0.5, "q95": 0.95})
+
+    return each_component(one)
 
 
 # ------------------------------------------------------------- forecast run
 
 
 def forecast_run(spark, folder, mode="full"):
-    return Q.run(scaled_components(spark, folder), CRITERIA, models=("bayesian_ridge", "fourier_ridge"), max_folds=2, mode=mode)
+    return Q.run(scaled_components(spark, folder), CRITERIA, models=tuple(M.MODELS), max_folds=ALL_FOLDS, mode=mode)
 
 
 @query("forecast_next_period")
@@ -351,7 +370,8 @@ def leave_model_out(spark, folder):
 def forecast_bootstrap(spark, folder):
     rows, scores = scored(spark, folder)
     out = S.ensemble(rows, settle(S.softmax_weights(scores)))
-    return Q.parametric_bootstrap(out.where("period = 2001"), "disagreement", seed=5, draws=200)
+    last = out.agg(F.max("period")).first()[0]
+    return Q.parametric_bootstrap(out.where(F.col("period") == last), "disagreement", seed=5)
 
 
 @query("importance_stability")
