@@ -129,35 +129,40 @@ def imputation_leakage(spark, folder):
     return J.kept_cells_changed(before.data, after.data, before.indicators)
 
 
+#: Rounds for those that run until the tolerance ends them; ``last_change`` of the result shows that it did.
+ROUNDS = 1_000
+WITH_CHANGE = ("entity", "period", "last_change")
+
+
 @query("chained_imputation")
 def chained_imputation(spark, folder):
     panel = panel_of(spark, folder)
-    return to_long(J.chained_equations(panel.data, panel.indicators, rounds=5), panel.indicators)
+    return to_long(J.chained_equations(panel.data, panel.indicators, rounds=ROUNDS, change_as="last_change"), panel.indicators, ids=WITH_CHANGE)
 
 
 @query("panel_imputation")
 def panel_imputation(spark, folder):
     """Interpolation in time, then chained equations."""
     panel = panel_of(spark, folder)
-    return to_long(J.impute_panel(panel.data, panel.indicators, rounds=3), panel.indicators)
+    return to_long(J.impute_panel(panel.data, panel.indicators, rounds=ROUNDS, change_as="last_change"), panel.indicators, ids=WITH_CHANGE)
 
 
 @query("low_rank_imputation")
 def low_rank_imputation(spark, folder):
     panel = panel_of(spark, folder)
-    return to_long(J.soft_impute(panel.data, panel.indicators, rounds=3), panel.indicators)
+    return to_long(J.soft_impute(panel.data, panel.indicators, rounds=ROUNDS, change_as="last_change"), panel.indicators, ids=WITH_CHANGE)
 
 
 @query("pooled_imputations")
 def pooled_imputations(spark, folder):
     """Means of the criterion scores over three seeded imputations, by Rubin's rules."""
     panel = panel_of(spark, folder)
-    stacked = J.multiple_imputations(panel.data, panel.indicators, [1, 2, 3], rounds=2)
+    stacked = settle(J.multiple_imputations(panel.data, panel.indicators, [1, 2, 3], rounds=ROUNDS, change_as="last_change"))
     rows = to_long(stacked, panel.indicators, ids=("entity", "period", "imputation"))
     per = rows.groupBy("imputation", "indicator").agg(
         F.avg("value").alias("estimate"), (F.var_samp("value") / F.count("value")).alias("variance")
     )
-    return J.pool(per, ["indicator"])
+    return J.pool(per, ["indicator"]).withColumn("last_change", F.lit(stacked.agg(F.max("last_change")).first()[0]))
 
 
 @query("rubin_pooling", f"""{LONG}, sc AS (SELECT indicator, period, (value - min(value) OVER (PARTITION BY indicator)) / (max(value) OVER (PARTITION BY indicator) - min(value) OVER (PARTITION BY indicator)) AS value FROM obs),
@@ -186,4 +191,4 @@ def tensor_completion(spark, folder):
     from panelwise.operators.tensor import complete_tensor
 
     panel = panel_of(spark, folder)
-    return to_long(complete_tensor(panel.data, panel.indicators, rank=2, rounds=3), panel.indicators)
+    return to_long(complete_tensor(panel.data, panel.indicators, rounds=ROUNDS, change_as="last_change"), panel.indicators, ids=WITH_CHANGE)

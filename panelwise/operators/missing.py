@@ -191,7 +191,7 @@ def interpolate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def chained_equations(
     df: DataFrame, columns: Sequence[str], rounds: int = 10, penalty: float = 1e-3, tolerance: float = 1e-4,
-    noise_seed: int | None = None,
+    noise_seed: int | None = None, change_as: str | None = None,
 ) -> DataFrame:
     """Every column with gaps is regressed on all others, gaps are replaced by the
     prediction, and this repeats until the changes are small.
@@ -199,7 +199,8 @@ def chained_equations(
     Start: column medians. Columns are standardised, fits are ridge regressions
     from one pass of sums of products over the rows where the column is present,
     so a round is one pass, one write and no shuffle of rows. A column without any
-    value stays missing. ``noise_seed`` adds residual noise in the last round
+    value stays missing. ``change_as`` names a column with the last round's change (0
+    without gaps), which is under ``tolerance`` unless the rounds ran out. ``noise_seed`` adds residual noise in the last round
     (multiple imputation)."""
     columns = list(columns)
     others = [c for c in df.columns if c not in columns]
@@ -208,7 +209,7 @@ def chained_equations(
     used = [c for c in columns if stats[f"n_{c}"]]
     gaps = [c for c in used if stats[f"n_{c}"] < stats["n"]]
     if not gaps:
-        return df
+        return with_change(df, change_as, 0.0)
     scale = {c: (stats[f"m_{c}"], stats[f"s_{c}"] or 1.0) for c in used}
     long = to_long(df.select(*used), used, keep_missing=False, ids=())
     start = {r["indicator"]: r["q"] for r in group_quantiles(settle(long), ["indicator"], "value", {"q": 0.5}).collect()}
@@ -242,7 +243,11 @@ def chained_equations(
             sd = fits[c][2] ** 0.5
             z = F.when(F.col(f"_gap_{c}"), z + sd * normal(noise_seed, F.lit(c), *[F.col(o) for o in others])).otherwise(z)
         final[c] = z * scale[c][1] + scale[c][0]
-    return current.withColumns(final).select(*df.columns)
+    return with_change(current.withColumns(final).select(*df.columns), change_as, change)
+
+
+def with_change(df: DataFrame, name: str | None, change: float) -> DataFrame:
+    return df if name is None else df.withColumn(name, F.lit(float(change)))
 
 
 def _fit_all(current: DataFrame, used: Sequence[str], gaps: Sequence[str], penalty: float) -> dict:
@@ -269,12 +274,12 @@ def _fit_all(current: DataFrame, used: Sequence[str], gaps: Sequence[str], penal
     return fits
 
 
-def impute_panel(df: DataFrame, columns: Sequence[str], rounds: int = 10) -> DataFrame:
+def impute_panel(df: DataFrame, columns: Sequence[str], rounds: int = 10, change_as: str | None = None) -> DataFrame:
     """Interpolation in time per entity, then chained equations for what is left."""
-    return chained_equations(settle(interpolate(df, columns)), columns, rounds)
+    return chained_equations(settle(interpolate(df, columns)), columns, rounds, change_as=change_as)
 
 
-def soft_impute(df: DataFrame, columns: Sequence[str], shrink: float = 0.5, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
+def soft_impute(df: DataFrame, columns: Sequence[str], shrink: float = 0.5, rounds: int = 30, tolerance: float = 1e-4, change_as: str | None = None) -> DataFrame:
     """Low-rank completion per period: singular values of the scaled matrix are reduced by
     ``shrink`` times the largest, observed cells are kept.
 
@@ -316,7 +321,7 @@ def soft_impute(df: DataFrame, columns: Sequence[str], shrink: float = 0.5, roun
         c: F.coalesce(F.col(c), F.col(f"_z_{c}") * F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(lit(1)) + F.col(f"_m_{c}"))
         for c in columns
     }
-    return current.withColumns(back).select(*df.columns)
+    return with_change(current.withColumns(back).select(*df.columns), change_as, change)
 
 
 def drift(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -371,11 +376,11 @@ def completeness(before: DataFrame, after: DataFrame, columns: Sequence[str]) ->
     return count(before, "missing_before").join(count(after, "missing_after"), [PERIOD, "indicator"])
 
 
-def multiple_imputations(df: DataFrame, columns: Sequence[str], seeds: Sequence[int], rounds: int = 5) -> DataFrame:
+def multiple_imputations(df: DataFrame, columns: Sequence[str], seeds: Sequence[int], rounds: int = 5, change_as: str | None = None) -> DataFrame:
     """Seeded imputations stacked under an ``imputation`` column."""
     out = None
     for i, seed in enumerate(seeds):
-        one = chained_equations(df, columns, rounds, noise_seed=seed).withColumn("imputation", F.lit(i))
+        one = chained_equations(df, columns, rounds, noise_seed=seed, change_as=change_as).withColumn("imputation", F.lit(i))
         out = one if out is None else out.unionByName(one)
     return out
 

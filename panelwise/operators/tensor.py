@@ -29,7 +29,7 @@ def _entity_factor(x: np.ndarray, t: np.ndarray, b: np.ndarray, c: np.ndarray, p
 
 def complete_tensor(
     df: DataFrame, columns: Sequence[str], rank: int = 3, rounds: int = 10, penalty: float = 0.1, seed: int = 7,
-    tolerance: float = 1e-4,
+    tolerance: float = 1e-4, change_as: str | None = None,
 ) -> DataFrame:
     """Fill the missing cells of a wide panel; observed cells are kept."""
     columns = list(columns)
@@ -61,7 +61,8 @@ def complete_tensor(
                 g, y = flat[: rank * rank].reshape(rank, rank), flat[rank * rank :]
                 target[k] = np.linalg.solve(g + penalty * np.eye(rank), y)
         new = np.concatenate([b.ravel(), c.ravel()])
-        if np.linalg.norm(new - old) < tolerance * max(np.linalg.norm(old), 1e-12):
+        change = np.linalg.norm(new - old) / max(np.linalg.norm(old), 1e-12)
+        if change < tolerance:
             break
 
     key = next(f for f in df.schema.fields if f.name == ENTITY)
@@ -79,7 +80,8 @@ def complete_tensor(
     filled = {
         col: F.coalesce(F.col(col), F.col("fit")[i] * scale[col] + F.col(f"_m_{col}")) for i, col in enumerate(columns)
     }
-    return joined.withColumns(filled).select(*df.columns)
+    out = joined.withColumns(filled).select(*df.columns)
+    return out if change_as is None else out.withColumn(change_as, F.lit(float(change)))
 
 
 def _unpack(rows, slot) -> tuple[np.ndarray, np.ndarray, list]:
