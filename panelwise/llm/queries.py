@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .alignment import align, link_statistics, written_groups
 from .common import documents, embeddings, shared_folder
 from .hamming_index import nearest
 from .langid import identify
@@ -14,6 +17,7 @@ from .licenses import scan, scan_sql
 from .mixing import MIX_SQL, mix
 from .packing import pack
 from .perplexity import judge
+from .sentence_pieces import decode_pieces, encode_pieces
 from .sharding import write_shards
 from .simhash import near_duplicates
 from .tiled_cosine import near_vectors
@@ -106,3 +110,32 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate vectors of a label, by cosine 0.93."""
     return near_vectors(embeddings(spark, folder), 0.93)
+
+
+def group_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``align`` with the SHA-256 of their groups as written; a text without tokens has an empty string."""
+    for batch in batches:
+        digests = pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in written_groups(batch)], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, digests], names=[*batch.schema.names, "groups_sha256"])
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of byte-level and SentencePiece tokens of all documents, and how often their links occur in all of them."""
+    aligned = align(documents(spark, folder).select("doc_id", "text"))
+    schema = T.StructType([*aligned.schema.fields, T.StructField("groups_sha256", T.StringType())])
+    sizes = {f"n_{c}": (F.octet_length(source) / 4).cast("long") for c, source in (("a", "a_ids"), ("b", "b_ids"), ("groups", "a_upto"))}
+    columns = ["doc_id", *sizes, "groups_sha256"]
+    return link_statistics(aligned.mapInArrow(group_digests, schema).withColumns(sizes), columns)
+
+
+@query("op12_sentence_pieces")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """SentencePiece ids of all documents, and the texts that they decode to."""
+    there = encode_pieces(documents(spark, folder).select("doc_id", "text"))
+    return decode_pieces(there).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
