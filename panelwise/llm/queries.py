@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .alignment import align, link_statistics, written_groups
 from .common import documents, embeddings, shared_folder
+from .conversation_trie import TRIE_SQL, ordered_turns, prefix_trie, with_shared_starts
 from .hamming_index import nearest
 from .langid import identify
 from .licenses import scan, scan_sql
@@ -139,3 +140,9 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op13_conversation_trie", TRIE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt with shared starts."""
+    return prefix_trie(with_shared_starts(ordered_turns(spark.read.parquet(f"{folder}/conversations.parquet"))))

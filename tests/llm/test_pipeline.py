@@ -48,7 +48,7 @@ def test_stages_against_plain_versions(spark, tmp_path):
 def test_registered():
     names = __spark_entry__.queries()
     assert {"pipeline", *QUERIES} <= set(names)
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
