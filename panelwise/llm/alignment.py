@@ -11,7 +11,7 @@ of texts (each a few MB) rather than texts: a block asks once for each of its di
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,9 @@ from .sentence_pieces import pack_ids, pieces, ragged, unpack_ids
 from .tokens import Encoder, vocabulary
 
 #: Bytes of text that are encoded and aligned at once, and whose pairs form a block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+PACKED = ["a_ids", "b_ids", "a_upto", "b_upto"]
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def byte_values() -> np.ndarray:
@@ -42,7 +44,7 @@ class ByteLevel:
     """A byte-level vocabulary whose special tokens are plain text inside texts."""
 
     def __init__(self, path: str):
-        self.encoder = Encoder(path, blanks=True, cached=200_000)
+        self.encoder = Encoder(path, blanks=True, cached=100_000)
         self.encoder.tokenizer.encode_special_tokens = True
         table = byte_values()
         names = {i: name for name, i in self.encoder.tokenizer.get_vocab().items()}
@@ -103,18 +105,17 @@ def shared_cuts(a: np.ndarray, b: np.ndarray, starts: np.ndarray) -> tuple[np.nd
         last_a.append(token[hit])
         last_b.append(at[hit])
         cut_a, cut_b = token[hit] + 1, at[hit] + 1
-        halves = np.concatenate(
-            [
-                np.column_stack([todo[found, 0], cut_a, todo[found, 2], cut_b]),
-                np.column_stack([cut_a, todo[found, 1], cut_b, todo[found, 3]]),
-            ]
-        )
+        own = todo[found]
+        halves = np.stack([own[:, 0], cut_a, own[:, 2], cut_b, cut_a, own[:, 1], cut_b, own[:, 3]], axis=1).reshape(-1, 4)
         missed = np.ones(len(todo), bool)
         missed[found] = False
         missed &= (left > lo) | (right < hi)  # something is left to look at
         halves = halves[(halves[:, 1] - halves[:, 0] > 1) & (halves[:, 3] - halves[:, 2] > 1)]
         reach = np.concatenate([np.ones(len(halves), np.int64), reach[missed] * 4])
         todo = np.concatenate([halves, todo[missed]])
+        if missed.any():  # in order of the text, which bisecting likes best
+            order = np.argsort(todo[:, 0], kind="stable")
+            todo, reach = todo[order], reach[order]
     last_a, last_b = np.concatenate(last_a), np.concatenate(last_b)
     order = np.argsort(last_a)
     return last_a[order], last_b[order]
@@ -172,17 +173,25 @@ def align(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k
     itself. A text that is null or empty, or that either tokenizer does not spell byte for byte, has no tokens: all four are
     empty. One row comes out for each row in; nulls in other columns stay, and other columns named like the four are
     replaced. Long texts are aligned whole. An empty table gives an empty table."""
-    made = ["a_ids", "b_ids", "a_upto", "b_upto"]
-    others = [c for c in docs.columns if c not in (text, *made)]
+    rows, others = _texts(docs, text)
+    schema = T.StructType([*others, *[T.StructField(c, T.BinaryType()) for c in PACKED]])
+    return rows.mapInArrow(_align_step(a, b, text), schema)
+
+
+def _texts(docs: DataFrame, text: str) -> tuple[DataFrame, list[T.StructField]]:
+    others = [c for c in docs.columns if c not in (text, *PACKED)]
     rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("string").alias(text))
-    schema = T.StructType([*[rows.schema[c] for c in others], *[T.StructField(c, T.BinaryType()) for c in made]])
+    return rows, [rows.schema[c] for c in others]
 
+
+def _align_step(a: str, b: str, text: str) -> Step:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text, BLOCK_BYTES):
+            others = [c for c in batch.schema.names if c != text]
             packed = [pack_ids(values, ends) for values, ends in _aligned(batch.column(text), a, b)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *packed], names=[*others, *made])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], *packed], names=[*others, *PACKED])
 
-    return rows.mapInArrow(run, schema)
+    return run
 
 
 def _links(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -205,14 +214,40 @@ def link_statistics(aligned: DataFrame, columns: list[str]) -> DataFrame:
     ``BLOCK_BYTES`` or one text. Rows without links have zeros. Null or repeated ids do no harm: rows keep their places
     in blocks."""
     kept = [aligned.schema[c] for c in columns]
+    return _meet(aligned.select(*[F.col(f"`{c}`") for c in dict.fromkeys((*columns, *PACKED))]).mapInArrow(_block_step(columns), _block_schema(kept)), kept)
+
+
+def align_and_link(
+    docs: DataFrame, measures: dict[str, tuple[T.DataType, Callable[[pa.RecordBatch], pa.Array]]],
+    a: str = "byte_bpe_50k.json", b: str = "piece_bpe_32k.model", text: str = "text",
+) -> DataFrame:
+    """:func:`align` and :func:`link_statistics` in one pass over the texts: all columns of ``docs`` but ``text``, the ``measures`` (a type
+    and a function of the rows that ``align`` gives) and the link statistics; the aligned rows never leave the worker."""
+    rows, others = _texts(docs.drop(*measures), text)
+    kept = [*others, *[T.StructField(name, kind) for name, (kind, _) in measures.items()]]
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [get(batch) for _, get in measures.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=[*batch.schema.names, *measures])
+
+    read, put = _align_step(a, b, text), _block_step([f.name for f in kept])
+    return _meet(rows.mapInArrow(lambda batches: put(measure(read(batches))), _block_schema(kept)), kept)
+
+
+def _block_schema(kept: list[T.StructField]) -> T.StructType:
     parts = [("block", T.LongType()), ("a", T.ArrayType(T.IntegerType())), ("b", T.ArrayType(T.IntegerType())), ("n", T.ArrayType(T.LongType()))]
     parts += [("pair", T.BinaryType()), ("times", T.BinaryType()), ("stops", T.BinaryType())]
     rows = [T.StructField(f"c{i}", T.ArrayType(f.dataType)) for i, f in enumerate(kept)]
-    schema = T.StructType([*[T.StructField(name, kind) for name, kind in parts], *rows])
+    return T.StructType([*[T.StructField(name, kind) for name, kind in parts], *rows])
+
+
+def _block_step(columns: list[str]) -> Step:
+    """A row for each batch of aligned rows: its distinct pairs with their counts, and which of them each row holds how often."""
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
-        for batch in slices(batches, "a_ids", BLOCK_BYTES):
+        for batch in slices(batches, "a_ids", 4 * BLOCK_BYTES):
             a, b, ends = _links(batch)
             key, index = np.unique(a << 32 | b, return_inverse=True)
             row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
@@ -223,11 +258,16 @@ def link_statistics(aligned: DataFrame, columns: list[str]) -> DataFrame:
             whole = lambda x: pack_ids(x, np.array([len(x)]))
             out = [pa.array([number]), one(key >> 32, pa.int32()), one(key & 0xFFFFFFFF, pa.int32()), one(np.bincount(index, minlength=len(key)), pa.int64())]
             out += [whole(pair), whole(times), whole(stops)]
-            out += [pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), batch.column(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays(out, names=schema.names)
+            out += [pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), batch.column(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays(out, names=["block", "a", "b", "n", "pair", "times", "stops", *[f"c{i}" for i in range(len(columns))]])
             number += 1
 
-    blocks = settle(aligned.select(*columns, "a_ids", "b_ids", "a_upto", "b_upto").mapInArrow(block, schema))
+    return block
+
+
+def _meet(blocks: DataFrame, kept: list[T.StructField]) -> DataFrame:
+    """The rows of blocks with what all blocks say about their pairs."""
+    blocks = settle(blocks)
     pairs = blocks.select("block", F.posexplode(F.arrays_zip("a", "b", "n")).alias("place", "of")).select("block", "place", "of.*")
     counts = settle(pairs.groupBy("a", "b").agg(F.sum("n").alias("count")))
     most = counts.groupBy("b").agg(F.max("count").alias("most"))
@@ -240,10 +280,10 @@ def link_statistics(aligned: DataFrame, columns: list[str]) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                (pair, _), (times, _), (stops, _) = (unpack_ids(one.column(c)) for c in ("pair", "times", "stops"))
+                pair, times, stops = (unpack_ids(one.column(c))[0].astype(np.int64) for c in ("pair", "times", "stops"))
                 count, best = (np.asarray(one.column(c).flatten(), np.int64) for c in ("count", "best"))
-                times, rows = times.astype(np.int64), len(stops)
-                row = np.repeat(np.arange(rows), np.diff(stops.astype(np.int64), prepend=0))
+                rows = len(stops)
+                row = np.repeat(np.arange(rows), np.diff(stops, prepend=0))
                 made = []
                 for value in (times, times * best[pair], times * count[pair]):
                     total = np.zeros(rows, np.int64)
@@ -251,8 +291,8 @@ def link_statistics(aligned: DataFrame, columns: list[str]) -> DataFrame:
                     made.append(pa.array(total))
                 yield pa.RecordBatch.from_arrays([*[one.column(f"c{k}").flatten() for k in range(len(kept))], *made], names=out_schema.names)
 
-    lists = blocks.select("block", "pair", "times", "stops", *[f"c{i}" for i in range(len(kept))])
-    return lists.join(asked, "block", "left").select("pair", "times", "stops", "count", "best", *[f"c{i}" for i in range(len(kept))]).mapInArrow(sums, out_schema)
+    columns = ["pair", "times", "stops", *[f"c{i}" for i in range(len(kept))]]
+    return blocks.select("block", *columns).join(asked, "block", "left").select("count", "best", *columns).mapInArrow(sums, out_schema)
 
 
 _DIGITS: dict[str, np.ndarray] = {}

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .alignment import align, link_statistics, written_groups
+from .alignment import align_and_link, written_groups
 from .common import documents, embeddings, shared_folder
 from .conversation_trie import TRIE_SQL, ordered_turns, prefix_trie, with_shared_starts
 from .hamming_index import nearest
@@ -113,21 +115,21 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(embeddings(spark, folder), 0.93)
 
 
-def group_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``align`` with the SHA-256 of their groups as written; a text without tokens has an empty string."""
-    for batch in batches:
-        digests = pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in written_groups(batch)], pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns, digests], names=[*batch.schema.names, "groups_sha256"])
+def group_digests(batch: pa.RecordBatch) -> pa.Array:
+    """SHA-256 of the groups as written; an empty string for a text without tokens."""
+    return pa.array([hashlib.sha256(g).hexdigest() if g else "" for g in written_groups(batch)], pa.string())
+
+
+def packed_counts(column: str) -> tuple[T.DataType, Callable[[pa.RecordBatch], pa.Array]]:
+    return T.LongType(), lambda batch: pa.array(np.asarray(pc.binary_length(batch.column(column)), np.int64) // 4)
 
 
 @query("op11_token_alignment")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of byte-level and SentencePiece tokens of all documents, and how often their links occur in all of them."""
-    aligned = align(documents(spark, folder).select("doc_id", "text"))
-    schema = T.StructType([*aligned.schema.fields, T.StructField("groups_sha256", T.StringType())])
-    sizes = {f"n_{c}": (F.octet_length(source) / 4).cast("long") for c, source in (("a", "a_ids"), ("b", "b_ids"), ("groups", "a_upto"))}
-    columns = ["doc_id", *sizes, "groups_sha256"]
-    return link_statistics(aligned.mapInArrow(group_digests, schema).withColumns(sizes), columns)
+    sizes = {"n_a": packed_counts("a_ids"), "n_b": packed_counts("b_ids"), "n_groups": packed_counts("a_upto")}
+    measures = sizes | {"groups_sha256": (T.StringType(), group_digests)}
+    return align_and_link(documents(spark, folder).select("doc_id", "text"), measures)
 
 
 @query("op12_sentence_pieces")

@@ -56,7 +56,7 @@ def unpack_ids(packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Pieces:
     """The vocabulary as arrays, and the words met so far (up to ``cached``) with their ids."""
 
-    def __init__(self, path: str, cached: int = 200_000):
+    def __init__(self, path: str, cached: int = 100_000):
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
@@ -67,27 +67,7 @@ class Pieces:
         bytes_of = np.flatnonzero(self.kind == 3)
         self.byte_ids = np.zeros(256, np.uint32)
         self.byte_ids[[int(names[i][3:5], 16) for i in bytes_of]] = bytes_of
-        ids = {names[i]: int(i) for i in np.flatnonzero(self.kind == 0)}
-        if any(BLANK in name.lstrip(BLANK) for name in ids):
-            raise ValueError("a piece holds a blank after another character")
-        symbols = dict(ids)  # also characters inside pieces that are no piece themselves
-        for c in sorted({c for name in ids for c in name} - set(ids)):
-            symbols[c] = n + len(symbols) - len(ids)
-        self.size, self.known_symbols = n, n + len(symbols) - len(ids)
-        self.of_char = np.full(0x110000, -1, np.int64)
-        for name, i in symbols.items():
-            if len(name) == 1:
-                self.of_char[ord(name)] = i
-        self.of_char[ord(" ")] = self.of_char[ord(BLANK)]
-        _, level = np.unique([-model.get_score(i) for i in range(n)], return_inverse=True)  # smaller is merged earlier
-        pairs = [
-            ((symbols[name[:k]], symbols[name[k:]]), i)
-            for name, i in ids.items() for k in range(1, len(name)) if name[:k] in symbols and name[k:] in symbols
-        ]
-        key = np.array([a * self.known_symbols + b for (a, b), _ in pairs], np.int64)
-        order = np.argsort(key)
-        self.pair, self.merged = key[order], np.array([i for _, i in pairs], np.int64)[order]
-        self.rank = level[self.merged].astype(np.int64)
+        self.size = n
         surface = [
             b"" if k == 1 else " ⁇ ".encode() if k == 2 else bytes([int(name[3:5], 16)]) if k == 3 else name.replace(BLANK, " ").encode()
             for name, k in zip(names, self.kind, strict=True)
@@ -98,9 +78,36 @@ class Pieces:
         self.leads = np.array([name.startswith(BLANK) for name in names]) & (self.kind == 0)
         self.cached, self.rows = cached, {}
         self.pool, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.names, self.level, self.pair = names, np.unique([-model.get_score(i) for i in range(n)], return_inverse=True)[1], None
 
     # ---------------------------------------------------------------- merging
 
+    def _prepare(self) -> None:
+        """What encoding needs beyond decoding: symbols of characters, and all pairs that merge, in order."""
+        names, n = self.names, self.size
+        ids = {names[i]: int(i) for i in np.flatnonzero(self.kind == 0)}
+        if any(BLANK in name.lstrip(BLANK) for name in ids):
+            raise ValueError("a piece holds a blank after another character")
+        symbols = dict(ids)  # also characters inside pieces that are no piece themselves
+        for c in sorted({c for name in ids for c in name} - set(ids)):
+            symbols[c] = n + len(symbols) - len(ids)
+        self.known_symbols = n + len(symbols) - len(ids)
+        self.of_char = np.full(0x110000, -1, np.int32)
+        for name, i in symbols.items():
+            if len(name) == 1:
+                self.of_char[ord(name)] = i
+        self.of_char[ord(" ")] = self.of_char[ord(BLANK)]
+        pairs = np.array(
+            [
+                (symbols[name[:k]] * self.known_symbols + symbols[name[k:]], i)
+                for name, i in ids.items() for k in range(1, len(name)) if name[:k] in symbols and name[k:] in symbols
+            ],
+            np.int64,
+        )
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        self.pair, self.merged = pairs[:, 0].copy(), pairs[:, 1].copy()
+        self.rank = self.level[self.merged].astype(np.int64)  # smaller merges earlier
+
     def _lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, merged symbol) of pairs; NEVER where the two do not merge."""
         key = a * self.known_symbols + b
@@ -120,13 +127,13 @@ class Pieces:
             j = after[i]
             if symbols[i] != a or j >= len(symbols) or symbols[j] != b:
                 continue
-            symbols[i], symbols[j], after[i] = m, -2, after[j]
+            symbols[i], symbols[j], after[i] = m, None, after[j]
             if after[j] < len(symbols):
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
                 if left >= 0 and right < len(symbols) and (found := table.get((symbols[left], symbols[right]))):
                     heapq.heappush(heap, (found[0], left, symbols[left], symbols[right], found[1]))
-        return [s for s in symbols if s != -2]
+        return [s for s in symbols if s is not None]
 
     def _table(self) -> dict[tuple[int, int], tuple[int, int]]:
         if not hasattr(self, "_pairs"):
@@ -141,53 +148,52 @@ class Pieces:
         overlap. That equals one merge after another unless a symbol made so could at once merge as early or
         earlier; such a word merges only its leftmost pair in the round. Words without a pair leave the arrays."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        rank, merged = self._lookup(symbols[:-1], symbols[1:])
+        rank, merged = np.append(rank, NEVER), np.append(merged, -1)  # of each symbol and the one after it
+        rank[:-1][word[1:] != word[:-1]] = NEVER
         turn = 0
         while len(symbols):
             turn += 1
-            same = word[1:] == word[:-1]
-            rank, merged = self._lookup(symbols[:-1], symbols[1:])
-            rank[~same] = NEVER
-            first = np.flatnonzero(np.r_[True, ~same])  # start of each word
-            best = np.minimum.reduceat(np.r_[rank, NEVER], first)
-            number = np.cumsum(np.r_[True, ~same]) - 1
-            live = best[number] != NEVER
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            best = np.minimum.reduceat(rank, first)
+            sizes = np.diff(np.append(first, len(word)))
+            live = np.repeat(best != NEVER, sizes)
             if not live.all():
                 done.append((symbols[~live], word[~live]))
-                keep = np.flatnonzero(live)
-                symbols, word, number = symbols[keep], word[keep], np.cumsum(np.r_[True, np.diff(word[keep]) != 0]) - 1
-                pairs = keep[:-1]
-                rank, merged = rank[pairs], merged[pairs]
-                rank[word[1:] != word[:-1]] = NEVER
-                best = best[best != NEVER]
+                symbols, word, rank, merged = symbols[live], word[live], rank[live], merged[live]
+                sizes, best = sizes[best != NEVER], best[best != NEVER]
                 if not len(symbols):
                     break
-            at = np.flatnonzero((rank == best[number[:-1]]) & (rank != NEVER))
+            number = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.flatnonzero(rank == best[number])
             runs = np.flatnonzero(np.r_[True, np.diff(at) > 1])  # pairs that overlap: every second one
-            place = np.arange(len(at)) - np.repeat(runs, np.diff(np.r_[runs, len(at)]))
-            at = at[place % 2 == 0]
-            made = merged[at]
-            own, level = number[at], rank[at]
+            at = at[(np.arange(len(at)) - np.repeat(runs, np.diff(np.append(runs, len(at))))) % 2 == 0]
+            made, own, level = merged[at], number[at], rank[at]
             # what each new symbol could merge with: the symbol before it (perhaps new as well) and the one after it
             new = symbols.copy()
             new[at] = made
-            gone = np.zeros(len(symbols) + 1, bool)
+            gone = np.zeros(len(symbols), bool)
             gone[at + 1] = True
             left = np.maximum(at - 1, 0)
             left = np.where(gone[left], np.maximum(left - 1, 0), left)
             right = np.minimum(at + 2, len(symbols) - 1)
-            with_left = np.where((at > 0) & (word[left] == word[at]), self._lookup(new[left], made)[0], NEVER)
+            has_left = (at > 0) & (word[left] == word[at])
             has_right = (at + 2 < len(symbols)) & (word[right] == word[at])
-            with_right = np.where(has_right, self._lookup(made, symbols[right])[0], NEVER)
+            with_left, made_left = self._lookup(new[left], made)
+            with_right, made_right = self._lookup(made, symbols[right])
+            with_left[~has_left], with_right[~has_right] = NEVER, NEVER
             early = np.unique(own[(with_left <= level) | (with_right <= level)])
             if len(early):
-                leftmost = np.r_[True, np.diff(own) != 0]
-                stays = leftmost | ~np.isin(own, early)
-                at, made = at[stays], made[stays]
+                stays = np.r_[True, np.diff(own) != 0] | ~np.isin(own, early)
+                at, made, left, has_left = at[stays], made[stays], left[stays], has_left[stays]
+                with_left, made_left, with_right, made_right = with_left[stays], made_left[stays], with_right[stays], made_right[stays]
             symbols = symbols.copy()
             symbols[at] = made
+            rank[at], merged[at] = with_right, made_right
+            rank[left[has_left]], merged[left[has_left]] = with_left[has_left], made_left[has_left]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            symbols, word, rank, merged = symbols[keep], word[keep], rank[keep], merged[keep]
             if len(early) or turn == ROUNDS:  # long words that go step by step finish at once
                 names, lengths = np.unique(word, return_counts=True)
                 late = names if turn == ROUNDS else names[early]
@@ -195,7 +201,7 @@ class Pieces:
                     mine = word == name
                     out = np.array(self._queue(symbols[mine].tolist()), np.int64)
                     done.append((out, np.full(len(out), name)))
-                    symbols, word = symbols[~mine], word[~mine]
+                    symbols, word, rank, merged = symbols[~mine], word[~mine], rank[~mine], merged[~mine]
         if not done:
             return symbols, word
         symbols, word = (np.concatenate(x) for x in zip(*done, strict=True))
@@ -204,12 +210,14 @@ class Pieces:
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each)."""
+        if self.pair is None:
+            self._prepare()
         chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         word = np.repeat(np.arange(len(words)), lengths)
         start = self.of_char[chars]
         # characters without a symbol never merge; they stand as minus their code point less one
-        start = np.where(start >= 0, start, -1 - chars.astype(np.int64))
+        start = np.where(start >= 0, start, -1 - chars.astype(np.int64)).astype(np.int64)
         symbols, word = self._rounds(start, word)
         lost = np.flatnonzero((symbols < 0) | (symbols >= self.size))
         if len(lost):
@@ -344,7 +352,7 @@ def encode_pieces(docs: DataFrame, model: str = "piece_bpe_32k.model", begin: bo
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, 2 << 20):
             found, ends = own.encode(batch.column(text))
             n = len(ends)
             extra = int(begin) + int(end)
@@ -369,7 +377,7 @@ def decode_pieces(encoded: DataFrame, model: str = "piece_bpe_32k.model", ids: s
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
-        for batch in slices(batches, ids, 8 << 20):
+        for batch in slices(batches, ids, 2 << 20):
             found, ends = unpack_ids(batch.column(ids))
             texts = own.decode(found, ends)
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(texts, pa.string())], names=[*others, text])

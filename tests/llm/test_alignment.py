@@ -103,6 +103,13 @@ def test_operator_keeps_groups_and_columns(spark):
         assert len(x) == len(y) and (x[-1:], y[-1:]) == ([len(a)] if a else [], [len(b)] if b else [])
 
 
+def test_two_steps_equal_one(spark, tmp_path):
+    table(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    got = link_statistics(align(table(spark)), ["doc_id"]).collect()
+    want = QUERIES["op11_token_alignment"](spark, str(tmp_path)).select("doc_id", "n_links", "n_best", "count_sum").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
 def test_empty_table(spark):
     assert link_statistics(align(fixtures.empty(spark)), ["doc_id"]).count() == 0
 

@@ -49,6 +49,7 @@ def test_long_words():
 
 def test_queue_form_equals_rounds():
     r = random.Random(4)
+    OWN._prepare()
     for _ in range(50):
         word = "".join(r.choice("abeth=  ") for _ in range(60))
         start = OWN.of_char[np.frombuffer(word.encode("utf-32-le"), np.uint32)]
