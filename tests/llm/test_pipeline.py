@@ -10,7 +10,7 @@ from panelwise.llm.perplexity import judge
 from panelwise.llm.queries import QUERIES, SQL
 from tests.compare import differences, duck
 
-from .test_simhash import components, plain
+from .test_similar import components
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
@@ -36,7 +36,7 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert ids(after) == ids(identify(before).filter("lang_pred <> 'und' AND score >= 0.5"))
     before, after = kept[2]
     rows = sorted(before.select("doc_id", "text").collect())
-    root = components([plain(r["text"]) for r in rows], corpus_pipeline.DISTANCE)
+    root = components([r["text"] for r in rows])
     assert ids(after) == sorted({rows[k]["doc_id"] for k in root})
     before, after = kept[3]
     assert ids(after) == ids(mix(before).select("row.doc_id"))
