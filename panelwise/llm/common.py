@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelwise.session import settle, shared_folder
 
-__all__ = ["ascii_lower", "connected", "documents", "embeddings", "settle", "shared_folder", "slices", "unit_vectors"]
+__all__ = ["ascii_lower", "connected", "documents", "embeddings", "numbered", "renamed", "settle", "shared_folder", "slices", "unit_vectors"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -47,6 +47,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20)
             start = stop
 
 
+def numbered(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str], list[str]]:
+    """``docs`` with its columns named c0, c1, .. so that none can clash, those names, and the names of the ``wanted`` columns
+    as strings: c0, c1, .. where they are strings already, so that a text is sent to a worker once, else a column of its own."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    place = {c.lower(): i for i, c in enumerate(docs.columns)}
+    rows, found = docs.toDF(*names), []
+    for c in wanted:
+        i = place[c.lower()]
+        found.append(names[i] if docs.dtypes[i][1] == "string" else f"as_{c}")
+        if found[-1] != names[i]:
+            rows = rows.withColumn(found[-1], F.col(names[i]).cast("string"))
+    return rows, names, found
+
+
+def renamed(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` from rows of :func:`numbered`."""
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def unit_vectors(vectors: DataFrame, key: str = "vec_id", value: str = "embedding") -> DataFrame:
     """Rows whose vector takes part: not null, not zero, every component a finite number; components as doubles."""
     values = F.col(value).cast("array<double>")

@@ -10,7 +10,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import settle, slices
+from .common import numbered, renamed, settle, slices
 
 #: Hash buckets of the n-grams, as a power of two.
 BITS = 14
@@ -57,7 +57,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((1 << BITS) + 1, np.int64), 0
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             for text in batch.column("text").to_pylist():
                 total[:-1] += np.bincount(buckets(text), minlength=1 << BITS) > 0
                 n += 1
@@ -117,7 +117,7 @@ def train(rows: DataFrame, s: Settings = Settings()) -> Model:
     number = {k: i for i, k in enumerate(langs)}
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 2 << 20):
             found = [features(t, idf) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 pa.array([number[k] for k in batch.column("lang").to_pylist()], pa.int32()), batch.column("tunes"), batch.column("turn"),
@@ -177,18 +177,19 @@ def labelled(docs: DataFrame) -> DataFrame:
     return docs.filter(known).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
 
-def predictions(rows: DataFrame, model: Model, column: str) -> DataFrame:
-    """``column``, lang_pred and score of every row, from ``text`` alone."""
+def predictions(rows: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
+    """``columns``, lang_pred and score of every row, from ``text`` alone."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    schema = rows.select(column).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    kept = rows.select(*dict.fromkeys((*columns, text)))
+    schema = rows.select(*columns).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            found = [shared.value.predict(t) for t in batch.column("text").to_pylist()]
+        for batch in slices(batches, text, 2 << 20):
+            found = [shared.value.predict(t) for t in batch.column(text).to_pylist()]
             langs, scores = pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(column), langs, scores], names=[column, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], langs, scores], names=[*columns, "lang_pred", "score"])
 
-    return rows.select(column, "text").mapInArrow(predict, schema)
+    return kept.mapInArrow(predict, schema)
 
 
 def identify(docs: DataFrame, learn: Column | None = None, settings: Settings = Settings()) -> DataFrame:
@@ -202,7 +203,7 @@ def identify(docs: DataFrame, learn: Column | None = None, settings: Settings =
     """
     model = train(labelled(docs if learn is None else docs.filter(learn)), settings)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return predictions(rows, model, "doc_id")
+    return predictions(rows, model, ["doc_id"])
 
 
 def recognised(docs: DataFrame, least: float = 0.5, settings: Settings = Settings()) -> DataFrame:
@@ -211,5 +212,5 @@ def recognised(docs: DataFrame, least: float = 0.5, settings: Settings = Setting
     model = train(labelled(docs), settings)
     if not model.langs:
         return docs
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    return predictions(rows, model, "row").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")
+    rows, names, (text,) = numbered(docs, "text")
+    return renamed(predictions(rows, model, names, text).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)), docs)
