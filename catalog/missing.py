@@ -153,11 +153,16 @@ def low_rank_imputation(spark, folder):
     return to_long(J.soft_impute(panel.data, panel.indicators, rounds=ROUNDS, change_as="last_change"), panel.indicators, ids=WITH_CHANGE)
 
 
+def imputations(spark, folder):
+    """Five proper imputations of the panel."""
+    panel = panel_of(spark, folder)
+    return panel, settle(J.multiple_imputations(panel.data, panel.indicators, [1, 2, 3, 4, 5], rounds=ROUNDS, change_as="last_change"))
+
+
 @query("pooled_imputations")
 def pooled_imputations(spark, folder):
-    """Means of the criterion scores over three seeded imputations, by Rubin's rules."""
-    panel = panel_of(spark, folder)
-    stacked = settle(J.multiple_imputations(panel.data, panel.indicators, [1, 2, 3], rounds=ROUNDS, change_as="last_change"))
+    """Means of the indicators over five imputations, by Rubin's rules."""
+    panel, stacked = imputations(spark, folder)
     rows = to_long(stacked, panel.indicators, ids=("entity", "period", "imputation"))
     per = rows.groupBy("imputation", "indicator").agg(
         F.avg("value").alias("estimate"), (F.var_samp("value") / F.count("value")).alias("variance")
@@ -165,6 +170,13 @@ def pooled_imputations(spark, folder):
     return J.pool(per, ["indicator"]).withColumn("last_change", F.lit(stacked.agg(F.max("last_change")).first()[0]))
 
 
+@query("pooled_regression")
+def pooled_regression(spark, folder):
+    """The first indicator on the others, a model for each of five imputations, coefficients pooled by Rubin's rules."""
+    panel, stacked = imputations(spark, folder)
+    return J.pooled_regression(stacked, panel.indicators[0], panel.indicators[1:])
+
+
 @query("rubin_pooling", f"""{LONG}, sc AS (SELECT indicator, period, (value - min(value) OVER (PARTITION BY indicator)) / (max(value) OVER (PARTITION BY indicator) - min(value) OVER (PARTITION BY indicator)) AS value FROM obs),
 e AS (SELECT indicator, period, avg(value) AS est, var_samp(value) / count(value) AS va FROM sc WHERE value IS NOT NULL GROUP BY ALL),
 q AS (SELECT indicator, avg(est) AS p, avg(va) AS w, coalesce(var_samp(est), 0) AS b, count(*) AS m FROM e GROUP BY indicator)

@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
+#: Sums that a task keeps before it hands them on: 16 MB.
+HELD = 2_000_000
+
+
 def moment_rows(
     df: DataFrame, columns: Sequence[str], group: Sequence[str] = (), weight: str | None = None,
     lift: Callable[[np.ndarray], np.ndarray] | None = None, n_lifted: int = 0, n_out: int = 0,
@@ -28,6 +32,13 @@ def moment_rows(
     p = len(columns) - n_lifted + n_out + 1
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
 
+    def written(sums: dict[tuple, np.ndarray]) -> Iterator[pd.DataFrame]:
+        for key, m in sums.items():
+            out = pd.DataFrame({"i": [a for a, _ in pairs], "j": [b for _, b in pairs], "s": [m[a, b] for a, b in pairs]})
+            for name, value in zip(group, key):
+                out[name] = value
+            yield out[[*group, "i", "j", "s"]]
+
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
         for pdf in batches:
@@ -40,11 +51,10 @@ def moment_rows(
                 w = part[weight].to_numpy(float)[:, None] if weight else 1.0
                 key = key if isinstance(key, tuple) else (key,)
                 sums[key] = sums.get(key, 0.0) + x.T @ (w * x)
-        for key, m in sums.items():
-            out = pd.DataFrame({"i": [a for a, _ in pairs], "j": [b for _, b in pairs], "s": [m[a, b] for a, b in pairs]})
-            for name, value in zip(group, key):
-                out[name] = value
-            yield out[[*group, "i", "j", "s"]]
+            if len(sums) * p * p > HELD:  # very many groups: what is summed so far goes on to the shuffle
+                yield from written(sums)
+                sums = {}
+        yield from written(sums)
 
     schema = T.StructType(
         [*keys, T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("s", T.DoubleType())]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression
@@ -13,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelwise.functions.guards import all_of, lit, present, ratio, total
 from panelwise.functions.noise import normal
 from panelwise.functions.special import chi2_tail
-from panelwise.operators.linear import covariance, linear_expression, moment_rows, solve_ridge
+from panelwise.operators.linear import covariance, moment_rows, solve_ridge
 from panelwise.operators.ordered import group_quantiles
 from panelwise.operators.passes import with_stats
+from panelwise.operators.patterns import PatternRows
 from panelwise.panel import ENTITY, PERIOD, to_long
 from panelwise.session import settle
 
@@ -189,89 +191,93 @@ def interpolate(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return rows.withColumns(out).drop("_i")
 
 
-def chained_equations(
-    df: DataFrame, columns: Sequence[str], rounds: int = 10, penalty: float = 1e-3, tolerance: float = 1e-4,
-    noise_seed: int | None = None, change_as: str | None = None,
-) -> DataFrame:
-    """Every column with gaps is regressed on all others, gaps are replaced by the
-    prediction, and this repeats until the changes are small.
-
-    Start: column medians. Columns are standardised, fits are ridge regressions
-    from one pass of sums of products over the rows where the column is present,
-    so a round is one pass, one write and no shuffle of rows. A column without any
-    value stays missing. ``change_as`` names a column with the last round's change (0
-    without gaps), which is under ``tolerance`` unless the rounds ran out. ``noise_seed`` adds residual noise in the last round
-    (multiple imputation)."""
+@dataclass
+class Chain:
+    """Chained equations that have come to rest: pattern maps, the fits of the last round and the last change."""
+
+    rows: PatternRows
+    scaled: DataFrame
+    scale: dict[str, tuple[float, float]]
+    gaps: list[str]
+    fits: dict[str, tuple[float, np.ndarray, float]]
+    penalty: float
+    change: float
+
+    def weights(self, fits: dict[str, tuple[float, np.ndarray, float]]) -> np.ndarray:
+        """A column for each column of the panel: intercept and slopes of its fit (nothing for one without gaps)."""
+        used = self.rows.columns
+        out = np.zeros((len(used) + 1, len(used)))
+        for c, (intercept, beta, _) in fits.items():
+            y = used.index(c)
+            out[0, y] = intercept
+            out[[i + 1 for i in range(len(used)) if i != y], y] = beta
+        return out
+
+    def unscaled(self, df: DataFrame, order: Sequence[str]) -> DataFrame:
+        back = {c: (F.col(c) * s + m).alias(c) for c, (m, s) in self.scale.items()}
+        return df.select(*[back.get(c, F.col(c)) for c in order])
+
+
+def fit_chain(
+    df: DataFrame, columns: Sequence[str], rounds: int = 10, penalty: float = 1e-3, tolerance: float = 1e-4, numbers: int | None = None,
+) -> Chain | None:
+    """The rounds of :func:`chained_equations`, or None if nothing can be filled.
+
+    Rows are read for the column statistics and once for the sums of products of each pattern of gaps; rounds work on those."""
     columns = list(columns)
-    others = [c for c in df.columns if c not in columns]
     stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns],
                    *[F.count(c).alias(f"n_{c}") for c in columns], F.count(F.lit(1)).alias("n")).first()
     used = [c for c in columns if stats[f"n_{c}"]]
     gaps = [c for c in used if stats[f"n_{c}"] < stats["n"]]
     if not gaps:
-        return with_change(df, change_as, 0.0)
+        return None
     scale = {c: (stats[f"m_{c}"], stats[f"s_{c}"] or 1.0) for c in used}
     long = to_long(df.select(*used), used, keep_missing=False, ids=())
-    start = {r["indicator"]: r["q"] for r in group_quantiles(settle(long), ["indicator"], "value", {"q": 0.5}).collect()}
-    current = df.select(
-        *others,
-        *[F.col(c) for c in columns if c not in used],
-        *[((F.coalesce(F.col(c), lit(start[c])) - scale[c][0]) / lit(scale[c][1])).alias(c) for c in used],
-        *[F.col(c).isNull().alias(f"_gap_{c}") for c in gaps],
-    )
-    current = settle(current)
-    for step in range(rounds):
-        fits = _fit_all(current, used, gaps, penalty)
-        last = step == rounds - 1
-        new = {}
-        for c in gaps:
-            x = [o for o in used if o != c]
-            value = linear_expression(x, fits[c][0], fits[c][1])
-            new[c] = F.when(F.col(f"_gap_{c}"), value).otherwise(F.col(c))
-        moved = settle(current.withColumns({f"_new_{c}": v for c, v in new.items()}))
-        change = moved.agg(
-            F.sqrt(total(F.sum(F.pow(F.col(f"_new_{c}") - F.col(c), lit(2))) for c in gaps) / (stats["n"] * len(gaps))).alias("d")
-        ).first()["d"]
-        current = moved.select(*others, *[c for c in columns if c not in used],
-                               *[(F.col(f"_new_{c}") if c in gaps else F.col(c)).alias(c) for c in used], *[f"_gap_{c}" for c in gaps])
-        if last or change < tolerance:
+    middle = {r["indicator"]: r["q"] for r in group_quantiles(settle(long), ["indicator"], "value", {"q": 0.5}).collect()}
+    z = {c: ((F.col(c) - m) / lit(s)).alias(c) for c, (m, s) in scale.items()}
+    scaled = df.select(*[z.get(c, F.col(c)) for c in df.columns])
+    rows = PatternRows(scaled, used, [(middle[c] - scale[c][0]) / scale[c][1] for c in used], numbers=numbers)
+    chain = Chain(rows, scaled, scale, gaps, {}, penalty, 0.0)
+    turns = sorted(gaps, key=lambda c: (-stats[f"n_{c}"], used.index(c)))  # fewest gaps first
+    for _ in range(rounds):
+        moved = 0.0
+        for c in turns:
+            chain.fits[c] = _ridge_fit(rows.totals[used.index(c)], used.index(c), penalty)
+            moved += max(rows.advance(chain.weights({c: chain.fits[c]}), used.index(c)), 0.0)
+        chain.change = float(np.sqrt(moved / (stats["n"] * len(gaps))))
+        if chain.change < tolerance:
             break
-    final = {}
-    for c in used:
-        z = F.col(c)
-        if noise_seed is not None and c in gaps:
-            sd = fits[c][2] ** 0.5
-            z = F.when(F.col(f"_gap_{c}"), z + sd * normal(noise_seed, F.lit(c), *[F.col(o) for o in others])).otherwise(z)
-        final[c] = z * scale[c][1] + scale[c][0]
-    return with_change(current.withColumns(final).select(*df.columns), change_as, change)
+    return chain
 
 
-def with_change(df: DataFrame, name: str | None, change: float) -> DataFrame:
-    return df if name is None else df.withColumn(name, F.lit(float(change)))
+def _ridge_fit(m: np.ndarray, y: int, penalty: float) -> tuple[float, np.ndarray, float]:
+    """Intercept, slopes on all other columns and residual variance of column ``y``."""
+    x = [i for i in range(len(m) - 1) if i != y]
+    intercept, beta = solve_ridge(m, x, y, penalty)
+    _, cov, _ = covariance(m)
+    resid = cov[y, y] - 2 * beta @ cov[x, y] + beta @ cov[np.ix_(x, x)] @ beta
+    return intercept, beta, max(float(resid), 0.0)
 
 
-def _fit_all(current: DataFrame, used: Sequence[str], gaps: Sequence[str], penalty: float) -> dict:
-    """Ridge fits of all columns with gaps, each on the rows where it is present.
-
-    Rows repeat only as sums: the moment matrix of target c leaves out its gap rows,
-    so rows are summed once per pattern of gaps and added up on the driver
-    (patterns x p x p numbers)."""
-    keyed = current.withColumn("_p", F.concat(*[F.col(f"_gap_{c}").cast("int").cast("string") for c in gaps]))
-    parts: dict[str, np.ndarray] = {}
-    p = len(used) + 1
-    for row in moment_rows(keyed, used, ["_p"]).toLocalIterator():
-        m = parts.setdefault(row["_p"], np.zeros((p, p)))
-        m[row["i"], row["j"]] = m[row["j"], row["i"]] = row["s"]
-    fits = {}
-    for g, c in enumerate(gaps):
-        m = sum((v for k, v in parts.items() if k[g] == "0"), np.zeros((p, p)))
-        y = used.index(c)
-        x = [i for i in range(len(used)) if i != y]
-        intercept, beta = solve_ridge(m, x, y, penalty)
-        _, cov, _ = covariance(m)
-        resid = cov[y, y] - 2 * beta @ cov[x, y] + beta @ cov[np.ix_(x, x)] @ beta
-        fits[c] = (intercept, beta, max(float(resid), 0.0))
-    return fits
+def chained_equations(
+    df: DataFrame, columns: Sequence[str], rounds: int = 10, penalty: float = 1e-3, tolerance: float = 1e-4,
+    change_as: str | None = None, numbers: int | None = None,
+) -> DataFrame:
+    """Every column with gaps in turn, that with the fewest first, is regressed on all others as they stand, its gaps are
+    replaced by the prediction, and this repeats until the changes are small.
+
+    Start: column medians. Columns are standardised, fits are ridge regressions over the rows where the column is
+    present. All rounds run on sums of products by pattern of gaps (:class:`PatternRows`); rows are read for those and
+    once more to be filled. A column without any value stays missing. ``change_as`` names a column with the last round's
+    change (0 without gaps), which is under ``tolerance`` unless the rounds ran out."""
+    chain = fit_chain(df, columns, rounds, penalty, tolerance, numbers)
+    if chain is None:
+        return with_change(df, change_as, 0.0)
+    return with_change(chain.unscaled(chain.rows.filled(chain.scaled), df.columns), change_as, chain.change)
+
+
+def with_change(df: DataFrame, name: str | None, change: float) -> DataFrame:
+    return df if name is None else df.withColumn(name, F.lit(float(change)))
 
 
 def impute_panel(df: DataFrame, columns: Sequence[str], rounds: int = 10, change_as: str | None = None) -> DataFrame:
@@ -279,49 +285,34 @@ def impute_panel(df: DataFrame, columns: Sequence[str], rounds: int = 10, change
     return chained_equations(settle(interpolate(df, columns)), columns, rounds, change_as=change_as)
 
 
-def soft_impute(df: DataFrame, columns: Sequence[str], shrink: float = 0.5, rounds: int = 30, tolerance: float = 1e-4, change_as: str | None = None) -> DataFrame:
+def soft_impute(
+    df: DataFrame, columns: Sequence[str], shrink: float = 0.5, rounds: int = 30, tolerance: float = 1e-4, change_as: str | None = None, numbers: int | None = None,
+) -> DataFrame:
     """Low-rank completion per period: singular values of the scaled matrix are reduced by
     ``shrink`` times the largest, observed cells are kept.
 
-    Z V f(S) V' needs only the p x p matrix Z'Z of each period, which one pass sums
-    up; the rows are projected in place, as column expressions per period."""
+    Z V f(S) V' needs only the p x p matrix Z'Z of each period. All rounds run on sums of products by period and pattern
+    of gaps (:class:`PatternRows`); rows are read for those and once more to be filled."""
     columns = list(columns)
     stats = {f"_m_{c}": F.avg(c) for c in columns} | {f"_s_{c}": F.stddev_pop(c) for c in columns}
-    base = with_stats(df, [], stats)
-    z = {c: F.coalesce(ratio(F.col(c) - F.col(f"_m_{c}"), F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(lit(1))), lit(0)) for c in columns}
-    current = settle(base.withColumns({f"_z_{c}": z[c] for c in columns}))
+    sd = {c: F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(lit(1)) for c in columns}
+    scaled = settle(with_stats(df, [], stats).withColumns({c: ratio(F.col(c) - F.col(f"_m_{c}"), sd[c]) for c in columns}))
+    rows = PatternRows(scaled, columns, [0.0] * len(columns), group=PERIOD, by_cell=False, numbers=numbers)
+    n, change = max(sum(m[0, 0] for m in rows.totals.values()), 1.0), 0.0
     for _ in range(rounds):
-        filled = [f"_z_{c}" for c in columns]
-        grams: dict = {}
-        for row in moment_rows(current, filled, [PERIOD]).toLocalIterator():
-            m = grams.setdefault(row[PERIOD], np.zeros((len(columns) + 1,) * 2))
-            m[row["i"], row["j"]] = m[row["j"], row["i"]] = row["s"]
-        projections = []
-        for period, m in sorted(grams.items()):
-            values, vectors = np.linalg.eigh(m[1:, 1:])
-            s = np.sqrt(np.maximum(values, 0.0))
-            keep = np.maximum(s - shrink * s.max(), 0.0) / np.where(s > 0, s, 1.0)
-            projections.append((period, [[float(v) for v in row] for row in vectors @ np.diag(keep) @ vectors.T]))
-        table = df.sparkSession.createDataFrame(projections, f"{PERIOD} int, _proj array<array<double>>")
-        placed = current.join(settle(table), PERIOD)
-        row = F.array(*[F.col(f) for f in filled])
-        new = {}
-        for j, c in enumerate(columns):
-            weights = F.element_at("_proj", j + 1)
-            value = F.aggregate(F.zip_with(row, weights, lambda a, b: a * b), lit(0), lambda acc, v: acc + v)
-            new[f"_n_{c}"] = F.when(F.col(c).isNull(), value).otherwise(F.col(f"_z_{c}"))
-        moved = settle(placed.withColumns(new).drop("_proj"))
-        change = moved.agg(
-            F.sqrt(total(F.sum(F.pow(F.col(f"_n_{c}") - F.col(f"_z_{c}"), lit(2))) for c in columns) / F.count(F.lit(1))).alias("d")
-        ).first()["d"]
-        current = moved.withColumns({f"_z_{c}": F.col(f"_n_{c}") for c in columns}).drop(*new)
+        change = float(np.sqrt(max(rows.advance({k: _projection(m, shrink) for k, m in rows.totals.items()}), 0.0) / n))
         if change < tolerance:
             break
-    back = {
-        c: F.coalesce(F.col(c), F.col(f"_z_{c}") * F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(lit(1)) + F.col(f"_m_{c}"))
-        for c in columns
-    }
-    return with_change(current.withColumns(back).select(*df.columns), change_as, change)
+    back = {c: F.col(c) * sd[c] + F.col(f"_m_{c}") for c in columns}
+    return with_change(rows.filled(scaled).withColumns(back).select(*df.columns), change_as, change)
+
+
+def _projection(m: np.ndarray, shrink: float) -> np.ndarray:
+    """Weights of (1, cells) for the cells on the shrunken singular vectors."""
+    values, vectors = np.linalg.eigh(m[1:, 1:])
+    s = np.sqrt(np.maximum(values, 0.0))
+    keep = np.maximum(s - shrink * s.max(), 0.0) / np.where(s > 0, s, 1.0)
+    return np.vstack([np.zeros(len(s)), vectors @ np.diag(keep) @ vectors.T])
 
 
 def drift(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -376,15 +367,68 @@ def completeness(before: DataFrame, after: DataFrame, columns: Sequence[str]) ->
     return count(before, "missing_before").join(count(after, "missing_after"), [PERIOD, "indicator"])
 
 
-def multiple_imputations(df: DataFrame, columns: Sequence[str], seeds: Sequence[int], rounds: int = 5, change_as: str | None = None) -> DataFrame:
-    """Seeded imputations stacked under an ``imputation`` column."""
+def drawn_fit(m: np.ndarray, y: int, penalty: float, rng: np.random.Generator) -> tuple[float, np.ndarray, float]:
+    """A draw of (intercept, slopes, residual variance) of column ``y`` on all others from their posterior: the variance
+    from a scaled inverse chi-square, the coefficients from a normal about the ridge fit, by the Cholesky factor of the
+    sums of products."""
+    x = [i for i in range(len(m) - 1) if i != y]
+    intercept, beta, resid = _ridge_fit(m, y, penalty)
+    mean, cov, n = covariance(m)
+    free = n - len(x) - 1
+    if free <= 0:
+        return intercept, beta, resid
+    variance = resid * n / rng.chisquare(free)
+    lower = np.linalg.cholesky(n * (cov[np.ix_(x, x)] + penalty * np.eye(len(x))))
+    slopes = beta + np.sqrt(variance) * np.linalg.solve(lower.T, rng.standard_normal(len(x)))
+    centre = mean[y] + np.sqrt(variance / n) * rng.standard_normal()
+    return float(centre - mean[x] @ slopes), slopes, float(variance)
+
+
+def multiple_imputations(
+    df: DataFrame, columns: Sequence[str], seeds: Sequence[int], rounds: int = 10, penalty: float = 1e-3, tolerance: float = 1e-4,
+    change_as: str | None = None, numbers: int | None = None,
+) -> DataFrame:
+    """Proper multiple imputations stacked under an ``imputation`` column.
+
+    The chained equations run once. For each seed, coefficients and residual variances are drawn from their posterior given
+    the chain's last sums (:func:`drawn_fit`), a round with them gives the mean of each gap, and a normal draw with the
+    drawn variance is added, by the MD5 of seed, column and the row's other columns. Observed cells are kept."""
+    chain = fit_chain(df, columns, rounds, penalty, tolerance, numbers)
+    if chain is None:
+        copies = F.explode(F.array(*[F.lit(i) for i in range(len(seeds))])).alias("imputation")
+        return with_change(df, change_as, 0.0).select("*", copies)
+    used, others = chain.rows.columns, [c for c in df.columns if c not in columns]
     out = None
     for i, seed in enumerate(seeds):
-        one = chained_equations(df, columns, rounds, noise_seed=seed, change_as=change_as).withColumn("imputation", F.lit(i))
+        drawn = {c: drawn_fit(chain.rows.totals[used.index(c)], used.index(c), penalty, np.random.default_rng([seed, used.index(c)])) for c in chain.gaps}
+        flagged = chain.scaled.withColumns({f"_gap_{c}": F.col(c).isNull() for c in chain.gaps})
+        rows = chain.rows.filled(flagged, chain.rows.maps(chain.weights(drawn)))
+        noise = {c: F.when(F.col(f"_gap_{c}"), F.col(c) + lit(drawn[c][2] ** 0.5) * normal(seed, F.lit(c), *[F.col(o) for o in others])).otherwise(F.col(c)) for c in chain.gaps}
+        one = with_change(chain.unscaled(rows.withColumns(noise), df.columns), change_as, chain.change).withColumn("imputation", F.lit(i))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def pooled_regression(stacked: DataFrame, target: str, predictors: Sequence[str], penalty: float = 0.0) -> DataFrame:
+    """``(term, pooled, within, between, total, missing_information)``: a regression for each ``imputation`` from one pass
+    over the rows, its coefficients and their variances pooled by Rubin's rules."""
+    columns, spark = [*predictors, target], stacked.sparkSession
+    found: dict[int, np.ndarray] = {}
+    for r in moment_rows(stacked, columns, ["imputation"]).collect():  # a matrix for each imputation
+        m = found.setdefault(r["imputation"], np.zeros((len(columns) + 1,) * 2))
+        m[r["i"], r["j"]] = m[r["j"], r["i"]] = r["s"]
+    rows = []
+    k = len(predictors) + 1
+    for m in found.values():
+        gram = m[:k, :k] + penalty * m[0, 0] * np.diag([0.0] + [1.0] * (k - 1))
+        inverse = np.linalg.pinv(gram)
+        beta = inverse @ m[:k, k]
+        loss = m[k, k] - 2 * beta @ m[:k, k] + beta @ m[:k, :k] @ beta
+        variance = max(loss, 0.0) / max(m[0, 0] - k, 1.0) * np.diag(inverse)
+        rows += [(name, float(b), float(v)) for name, b, v in zip(["(intercept)", *predictors], beta, variance, strict=True)]
+    return pool(spark.createDataFrame(rows, "term string, estimate double, variance double"), ["term"])
+
+
 def pool(estimates: DataFrame, group: Sequence[str], value: str = "estimate", variance: str = "variance") -> DataFrame:
     """Rubin's rules: pooled mean, within, between and total variance, share of
     information lost to gaps."""

@@ -1,7 +1,12 @@
+import math
+
+import pytest
+
 from catalog import missing as catalog
 from panelwise.operators import missing as J
 
 COLUMNS = ["x", "y", "z"]
+FOLDER = "/root/testdata/sf0.001"
 
 
 def panel(spark):
@@ -15,12 +20,8 @@ def test_last_change_shows_that_the_rounds_ran_out(spark):
     assert last(J.chained_equations(df, COLUMNS, 1, change_as="last_change")) > 1e-4
 
 
-def test_queries_run_to_the_tolerance(monkeypatch):
-    seen = []
-    for module, name in ((J, "chained_equations"), (J, "impute_panel"), (J, "soft_impute")):
-        monkeypatch.setattr(module, name, lambda *a, **options: seen.append(options))
-    monkeypatch.setattr(catalog, "panel_of", lambda *a: type("Panel", (), {"data": None, "indicators": []}))
-    monkeypatch.setattr(catalog, "to_long", lambda *a, **options: seen.append(options))
-    for query in (catalog.chained_imputation, catalog.panel_imputation, catalog.low_rank_imputation):
-        query(None, "")
-    assert seen == [{"rounds": catalog.ROUNDS, "change_as": "last_change"}, {"ids": catalog.WITH_CHANGE}] * 3
+@pytest.mark.parametrize("name", ["chained_imputation", "panel_imputation", "low_rank_imputation", "pooled_imputations"])
+def test_queries_come_to_rest(spark, name):
+    rows = getattr(catalog, name)(spark, FOLDER).collect()
+    assert rows and all(0 <= r["last_change"] < 1e-4 for r in rows)
+    assert all(r["value"] is not None and math.isfinite(r["value"]) for r in rows if "value" in r)
