@@ -7,6 +7,7 @@ from catalog.ranking import BIG, panel_of
 from catalog.registry import query
 from oracle.base import INDICATORS, long, r
 from panelwise.operators import missing as J
+from panelwise.operators.neighbours import nearest_entities
 from panelwise.operators.views import availability_report, criterion_means, final_means
 from panelwise.panel import to_long
 from panelwise.session import settle
@@ -142,11 +143,29 @@ def chained_imputation(spark, folder):
 
 @query("panel_imputation")
 def panel_imputation(spark, folder):
-    """Interpolation in time, then chained equations."""
+    """Interpolation in time, then the nearest entities of the period, then chained equations."""
     panel = panel_of(spark, folder)
     return to_long(J.impute_panel(panel.data, panel.indicators, rounds=ROUNDS, change_as="last_change"), panel.indicators, ids=WITH_CHANGE)
 
 
+#: Distances to all donors of the period on shared columns, in standard deviations of the column.
+NEAR = ", ".join(f"stddev_pop({i}) AS {i}" for i in INDICATORS)
+SQUARES = " + ".join(f"coalesce((a.{i} / s.{i} - b.{i} / s.{i}) ** 2, 0)" for i in INDICATORS)
+SHARED = " + ".join(f"(a.{i} IS NOT NULL AND b.{i} IS NOT NULL)::INT" for i in INDICATORS)
+
+
+@query("nearest_entity_imputation", f"""{LONG}, s AS (SELECT {NEAR} FROM panel),
+d AS (SELECT a.entity, a.period, b.entity AS donor, round(({SQUARES}) * {len(INDICATORS)} / ({SHARED}), 9) AS far FROM panel a JOIN panel b ON a.period = b.period AND a.entity <> b.entity, s WHERE {SHARED} > 0),
+n AS (SELECT d.entity, d.period, o.indicator, o.value, row_number() OVER (PARTITION BY d.entity, d.period, o.indicator ORDER BY far, donor) AS place
+  FROM d JOIN obs o ON o.entity = d.donor AND o.period = d.period AND o.value IS NOT NULL JOIN obs q ON q.entity = d.entity AND q.period = d.period AND q.indicator = o.indicator AND q.value IS NULL),
+m AS (SELECT entity, period, indicator, avg(value) AS value FROM n WHERE place <= 5 GROUP BY ALL)
+SELECT entity, {BIG}, indicator, {r("coalesce(o.value, m.value)")} AS value FROM obs o LEFT JOIN m USING (entity, period, indicator)""")
+def nearest_entity_imputation(spark, folder):
+    """Gaps from the five nearest entities of the period."""
+    panel = panel_of(spark, folder)
+    return to_long(nearest_entities(panel.data, panel.indicators, 5), panel.indicators)
+
+
 @query("low_rank_imputation")
 def low_rank_imputation(spark, folder):
     panel = panel_of(spark, folder)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from panelwise.functions.guards import all_of, lit, present, ratio, total
 from panelwise.functions.noise import normal
 from panelwise.functions.special import chi2_tail
+from panelwise.operators.neighbours import nearest_entities
 from panelwise.operators.linear import covariance, moment_rows, solve_ridge
 from panelwise.operators.ordered import group_quantiles
 from panelwise.operators.passes import with_stats
@@ -280,9 +281,9 @@ def with_change(df: DataFrame, name: str | None, change: float) -> DataFrame:
     return df if name is None else df.withColumn(name, F.lit(float(change)))
 
 
-def impute_panel(df: DataFrame, columns: Sequence[str], rounds: int = 10, change_as: str | None = None) -> DataFrame:
-    """Interpolation in time per entity, then chained equations for what is left."""
-    return chained_equations(settle(interpolate(df, columns)), columns, rounds, change_as=change_as)
+def impute_panel(df: DataFrame, columns: Sequence[str], rounds: int = 10, change_as: str | None = None, k: int = 5) -> DataFrame:
+    """Interpolation in time per entity, then the ``k`` nearest entities of the period, then chained equations for what is left."""
+    return chained_equations(settle(nearest_entities(settle(interpolate(df, columns)), columns, k)), columns, rounds, change_as=change_as)
 
 
 def soft_impute(
