@@ -13,6 +13,7 @@ from panelwise.operators import adaptive as A
 from panelwise.operators import evaluate as E
 from panelwise.operators import features as X
 from panelwise.operators import models as M
+from panelwise.operators import moment_fits as K
 from panelwise.operators import reduce as L
 from panelwise.operators import stability as H
 from panelwise.operators import stacking as S
@@ -254,6 +255,27 @@ def elastic_net_grid(spark, folder):
     return each_component(lambda c: M.elastic_net_cv(features, names, f"y_{c}", max_folds=ALL_FOLDS)[1])
 
 
+@query("penalty_grid")
+def penalty_grid(spark, folder):
+    """Every setting of an elastic net on every walk-forward fold, from one pass for each component."""
+    features, names = training(spark, folder)
+    return each_component(lambda c: K.penalty_grid(features, names, f"y_{c}", max_folds=ALL_FOLDS))
+
+
+@query("fit_multi_task")
+def fit_multi_task(spark, folder):
+    """Coefficients of one model of all components, with features kept or dropped for all of them."""
+    features, names = training(spark, folder)
+    return K.multi_task_elastic_net(features, names, [f"y_{c}" for c in CRITERIA])[1]
+
+
+@query("leave_one_entity_out_refits")
+def leave_one_entity_out_refits(spark, folder):
+    """Next period's value of each entity by a model of all other entities."""
+    features, names = training(spark, folder)
+    return each_component(lambda c: K.leave_one_entity_out(features, names, f"y_{c}"))
+
+
 @query("fit_boosted_trees")
 def fit_boosted_trees(spark, folder):
     return fitted(M.boosted_trees, spark, folder)

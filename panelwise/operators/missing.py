@@ -114,10 +114,11 @@ def selection_index(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def flag_regressions(df: DataFrame, columns: Sequence[str], minimum: int = 30, cut: float = 0.1) -> DataFrame:
-    """``(indicator, r2, predictors)``: logistic regression of each missing flag on the
+    """``(indicator, r2, predictors, left_out, reason)``: logistic regression of each missing flag on the
     other columns, McFadden R2 and predictors with a standardised coefficient above ``cut``.
 
-    Rows must be complete in the predictors; a flag needs both outcomes."""
+    Rows must be complete in the predictors, so those missing in half of the rows or more are left out and named. A flag with
+    fewer than ``minimum`` such rows, or with one outcome only, is not fitted: its R2 is null and ``reason`` says why."""
     spark = df.sparkSession
     out = []
     for target in columns:
@@ -129,7 +130,9 @@ def flag_regressions(df: DataFrame, columns: Sequence[str], minimum: int = 30, c
             *used, F.col(target).isNull().cast("double").alias("label")
         )
         shape = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("p")).first()
+        left_out = ",".join(c for c in others if c not in used)
         if shape["n"] < minimum or not 0 < (shape["p"] or 0) < 1:
+            out.append((target, None, None, left_out, "few rows" if shape["n"] < minimum else "one outcome"))
             continue
         data = settle(with_stats(rows, [], {f"_m_{c}": F.avg(c) for c in used} | {f"_s_{c}": F.stddev_pop(c) for c in used}).select(
             "label", *[F.coalesce(ratio(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), lit(0)).alias(c) for c in used]
@@ -143,8 +146,8 @@ def flag_regressions(df: DataFrame, columns: Sequence[str], minimum: int = 30, c
         p = shape["p"]
         null = shape["n"] * (p * np.log(p) + (1 - p) * np.log(1 - p))
         named = [c for c, b in zip(used, model.coefficients.toArray()) if abs(b) > cut]
-        out.append((target, float(max(0.0, 1 - loss / null)), ",".join(named)))
-    return spark.createDataFrame(out, "indicator string, r2 double, predictors string")
+        out.append((target, float(max(0.0, 1 - loss / null)), ",".join(named), left_out, None))
+    return spark.createDataFrame(out, "indicator string, r2 double, predictors string, left_out string, reason string")
 
 
 def mechanism(df: DataFrame, columns: Sequence[str], alpha: float = 0.05) -> DataFrame:

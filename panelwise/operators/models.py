@@ -5,7 +5,6 @@ Every fitted model is a function from a DataFrame to the same DataFrame with a
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from panelwise.functions.guards import lit
 from panelwise.operators.evaluate import metric_summary
 from panelwise.operators.linear import covariance, linear_expression, moments
+from panelwise.operators.moment_fits import penalty_grid
 from panelwise.operators.splits import walk_forward
 from panelwise.panel import PERIOD
 from panelwise.session import settle
@@ -70,10 +70,11 @@ def elastic_net_cv(
 ) -> tuple[Fitted, DataFrame]:
     """Elastic net whose penalty and l1 share are the best of a grid by walk-forward R2.
 
-    Returns the fit on all rows and the grid table."""
-    grid = [{"penalty": p, "l1": l} for p, l in itertools.product(penalties, l1_ratios)]
-    table, best = grid_search(elastic_net, grid, df, x, y, min_train, max_folds, period)
-    return elastic_net(df, x, y, **best), table
+    Returns the fit on all rows and the grid table: means over folds, all from one pass (:func:`penalty_grid`)."""
+    found = settle(penalty_grid(df, x, y, penalties, l1_ratios, min_train, max_folds, period))
+    table = settle(found.groupBy("setting").agg(F.avg("r2").alias("r2"), F.avg("rmse").alias("rmse")))
+    best = found.join(table.orderBy(F.col("r2").desc(), "setting").limit(1).select("setting"), "setting").select("penalty", "l1").first()
+    return elastic_net(df, x, y, **(best.asDict() if best else {})), table
 
 
 def grid_search(
@@ -125,15 +126,13 @@ def bayesian_ridge(df: DataFrame, x: Sequence[str], y: str, weight: str | None =
 
 
 def boosted_trees(
-    df: DataFrame, x: Sequence[str], y: str, iterations: int = 30, depth: int | None = None, rate: float = 0.1,
+    df: DataFrame, x: Sequence[str], y: str, iterations: int = 30, depth: int = 4, leaf: int = 5, rate: float = 0.1,
     validation: float = 0.2, period: str = PERIOD,
 ) -> Fitted:
-    """Gradient boosting; depth and leaf size follow the sample count, and the latest
+    """Gradient boosting with trees of ``depth`` levels and ``leaf`` rows a leaf at least; the latest
     periods (about ``validation`` of them) stop the boosting early."""
     rows = df.where(F.col(y).isNotNull())
-    n, first, last = rows.agg(F.count(F.lit(1)), F.min(period), F.max(period)).first()
-    depth = depth or (3 if n < 500 else 4 if n < 5_000 else 5 if n < 100_000 else 6)
-    leaf = max(1, min(n // 50, 20))
+    first, last = rows.agg(F.min(period), F.max(period)).first()
     cut = last - max(1, round((last - first) * validation))
     flagged = rows.withColumn("_late", F.col(period) > cut)
     estimator = GBTRegressor(
