@@ -89,13 +89,15 @@ sizes AS (SELECT source, sum(size) AS size FROM facts GROUP BY source),
 rates AS (
   SELECT source, 1.0::DOUBLE * (SELECT sum(size) FROM sizes)::DOUBLE * (1.0::DOUBLE / (SELECT count(*) FROM sizes)::DOUBLE) / size::DOUBLE AS rate
   FROM sizes),
-drawn AS (
-  SELECT f.doc_id, f.source, f.size, r.rate,
-    ('0x' || substr(md5('7|' || coalesce(f.doc_id::VARCHAR, '') || '|1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
-  FROM facts f JOIN rates r ON f.source IS NOT DISTINCT FROM r.source),
+split AS (SELECT *, greatest(1, ceil(rate / 500))::BIGINT AS parts FROM rates),
+tables AS (
+  SELECT *, list_transform(range(0, ceil(rate / parts + sqrt(rate / parts) * 12 + 41)::BIGINT),
+    lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(j * ln(rate / parts) - rate / parts - lgamma(j + 1))))) AS sums
+  FROM split),
 counted AS (
-  SELECT *, len(list_filter(range(0, 60), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(j * ln(rate) - rate - lgamma(j + 1)))) <= u)) AS copies
-  FROM drawn),
+  SELECT f.doc_id, f.source, f.size, t.rate, list_sum(list_transform(range(1, t.parts + 1), lambda part: len(list_filter(t.sums, lambda s: s <=
+    ('0x' || substr(md5('7|' || coalesce(f.doc_id::VARCHAR, '') || '|' || part::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE))))::BIGINT AS copies
+  FROM facts f JOIN tables t ON f.source IS NOT DISTINCT FROM t.source),
 copied AS (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted WHERE copies > 0)
 SELECT doc_id, source, size, round(rate, 6) AS rate, copies::BIGINT AS copies, copy::BIGINT AS copy,
   row_number() OVER (ORDER BY md5('order 7|' || coalesce(doc_id::VARCHAR, '') || '|' || copy::VARCHAR), coalesce(doc_id::VARCHAR, ''), copy) - 1 AS position

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from panelwise.llm.mixing import mix, source_rates
+from panelwise.llm.mixing import MIX_SQL, mix, source_rates
 
 from . import fixtures
 
@@ -69,3 +69,17 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = mix(fixtures.documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sql_with_high_rates(spark, tmp_path):
+    """A source so small that its documents are repeated tens, or more than five hundred, times."""
+    import pandas as pd
+
+    from panelwise.llm.queries import QUERIES
+    from tests.compare import differences, duck
+
+    rows = [(i, "x" * (2_000 + i), "big") for i in range(20)] + [(100 + i, "y" * 250, "mid") for i in range(2)] + [(200, "zzzzzzz", "small"), (201, None, "small")]
+    pd.DataFrame(rows, columns=["doc_id", "text", "source"]).to_parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op8_poisson_mixing"](spark, str(tmp_path))
+    assert got.filter("source = 'small'").count() > 2_000 and got.filter("source = 'mid'").count() > 40
+    assert differences(got, duck(str(tmp_path)), MIX_SQL) == []
