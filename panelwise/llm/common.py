@@ -32,7 +32,9 @@ def ascii_lower(text: Column) -> Column:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut into runs of rows with at most ``most`` bytes in ``column``; a longer single row stays whole."""
+    """The batches cut into runs of rows with at most ``most`` bytes in ``column``; a longer single row stays whole.
+
+    Arrow's pool gives back what it no longer needs after each batch: a worker lives on through later stages."""
     for batch in batches:
         values = batch.column(column)
         if not len(values):
@@ -45,6 +47,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 16 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def numbered(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str], list[str]]:
