@@ -17,7 +17,9 @@ from panelwise.operators import moment_fits as K
 from panelwise.operators import reduce as L
 from panelwise.operators import stability as H
 from panelwise.operators import stacking as S
+from panelwise.operators.local_intervals import locally_weighted
 from panelwise.operators.scaling import apply_yeo_johnson, fit_yeo_johnson, global_min_max, undo_yeo_johnson
+from panelwise.operators.tube_fit import epsilon_insensitive
 from panelwise.panel import to_long
 from panelwise.plans import forecast as Q
 from panelwise.plans import ranking as R
@@ -269,6 +271,25 @@ def fit_multi_task(spark, folder):
     return K.multi_task_elastic_net(features, names, [f"y_{c}" for c in CRITERIA])[1]
 
 
+@query("fit_epsilon_insensitive")
+def fit_epsilon_insensitive(spark, folder):
+    """Next period's values by a kernel regression that leaves errors within a tube uncounted."""
+    features, names = training(spark, folder)
+    predictions = epsilon_insensitive(features, names, [f"y_{c}" for c in CRITERIA])[0]
+    cells = F.array(*[F.struct(F.lit(c).alias("component"), F.col(f"y_{c}").alias("y"), F.col(f"yhat_y_{c}").alias("yhat")) for c in CRITERIA])
+    return predictions.select("entity", "period", F.inline(cells))
+
+
+@query("locally_weighted_intervals")
+def locally_weighted_intervals(spark, folder):
+    """Intervals of the last period's forecasts, from earlier residuals weighted by nearness of the period before."""
+    rows = forecasts(spark, folder)
+    before = scaled_components(spark, folder).select("entity", (F.col("period") + 1).alias("period"), *[F.col(c).alias(f"f_{c}") for c in CRITERIA])
+    rows = settle(rows.join(before, ["entity", "period"]))
+    last = F.col("period") == rows.agg(F.max("period")).first()[0]
+    return locally_weighted(rows.where(~last), rows.where(last), [f"f_{c}" for c in CRITERIA], ["model", "component"])
+
+
 @query("leave_one_entity_out_refits")
 def leave_one_entity_out_refits(spark, folder):
     """Next period's value of each entity by a model of all other entities."""
