@@ -333,6 +333,13 @@ for _kind, _sql in PREFERENCES.items():
     )
 
 
+@query("promethee_gaussian_narrow", flow_sql("1 - exp(-(a.x - b.x) * (a.x - b.x) / 0.0002)"))
+def promethee_gaussian_narrow(spark, folder):
+    """A bell of one hundredth of the range."""
+    pref = P.Preference("gaussian", sigma=0.01)
+    return P.flow_ranks(settle(P.flows(scaled_long(spark, folder), ["period"], "entity", pref)), ["period"])
+
+
 MIXED = {"I11": "usual", "I12": "level", "I13": "vshape", "I21": "vshape_i", "I22": "gaussian", "I31": "ushape", "I32": "vshape", "I41": "vshape", "I42": "usual"}
 
 

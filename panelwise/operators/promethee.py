@@ -6,7 +6,8 @@ total, lie below x, x - q, x - p (and above x, x + q, x + p). These are running
 counts and sums over the sorted distinct values with the shifted values mixed
 in as probes: one sort, O(n log n), split into buckets for large groups. The
 Gaussian function uses the series of exp(xy/s^2) around the middle of [0, 1],
-so its flows are running sums of powers.
+so its flows are running sums of powers; below s = 0.1 of the range, where that
+series grows, the sums are taken by cells (``narrow_bells``).
 """
 
 from __future__ import annotations
@@ -18,10 +19,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelwise.functions.guards import lit, score_key
+from panelwise.operators.narrow_bells import narrow_flows
 from panelwise.operators.ordered import add_ranks, running_sums
 from panelwise.session import settle
 
 
+#: Below this sigma the series has too many terms.
+NARROW = 0.1
+#: Values lie on a grid of 1e-11; the bell of a sigma up to this is zero between any two of them.
+NO_BELL = 1e-12
+
+
 @dataclass(frozen=True)
 class Preference:
     """Preference function and thresholds, in units of the scaled [0, 1] range."""
@@ -52,8 +60,6 @@ def _shifts(pref: Preference) -> list[float]:
 def _terms(sigma: float) -> int:
     """Series terms until the remainder is below 1e-15 of the leading factor."""
     z, k, term = 0.25 / sigma**2, 0, 1.0
-    if sigma < 0.1:
-        raise ValueError("gaussian preference needs sigma >= 0.1 of the scaled range")
     while k < z or term > 1e-15:
         k += 1
         term *= z / k
@@ -102,9 +108,13 @@ def value_flows(
     """``(group.., x, plus, minus, rows)`` for every distinct x: summed preferences over
     the others, and against x, and the rows of the group. ``values`` has ``group.., x``."""
     group = list(group)
+    if pref.kind == "gaussian" and pref.sigma <= NO_BELL:
+        pref = Preference("usual")
     counts = settle(values.groupBy(*group, "x").agg(F.count(F.lit(1)).alias("n")))
     sizes = settle(counts.groupBy(*group).agg(F.sum("n").alias("_rows"), F.count(F.lit(1)).alias("_values")))
     distinct = sizes.agg(F.max("_values")).first()[0] or 0
+    if pref.kind == "gaussian" and pref.sigma < NARROW:
+        return narrow_flows(counts, sizes, group, pref.sigma, limit, distinct)
     if pref.kind == "gaussian":
         return _gaussian_flows(counts, sizes, group, pref, limit, distinct)
     shifts = _shifts(pref)

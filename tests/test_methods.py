@@ -160,6 +160,19 @@ def test_flows_equal_all_pairs(spark, kind, limit):
         assert out[e] == pytest.approx(want[e], abs=1e-9), e
 
 
+@pytest.mark.parametrize("limit", [None, 3])
+@pytest.mark.parametrize("sigma", [0.0, 1e-12, 1e-9, 0.003, 0.01, 0.0999])
+def test_narrow_bells_equal_all_pairs(spark, sigma, limit):
+    """Ties, values at the border of a cell, values many cells apart, values closer than sigma."""
+    values = {f"e{i:02d}": x for i, x in enumerate([0.0, 0.01, 0.01, 0.0100001, 0.013, 0.02, 0.0945, 0.1, 0.5, 0.503, 0.5031, 0.506, 0.997, 1.0, 1.0])}
+    rows = [(e, "C1", x, 1.0) for e, x in values.items()]
+    df = spark.createDataFrame(rows, "entity string, indicator string, x double, w double")
+    out = by_entity(P.flows(df, [], "entity", P.Preference("gaussian", sigma=sigma), limit), "phi_plus", "phi_minus")
+    want = brute_flows(values, 1.0, lambda d: 0.0 if d <= 0 else 1.0 if sigma == 0 else 1 - math.exp(-d * d / (2 * sigma**2)))
+    for e in values:
+        assert out[e] == pytest.approx(want[e], abs=1e-11), e
+
+
 def test_net_flows_sum_to_zero(spark):
     rows = [(f"e{i}", "C1", (i * i % 17) / 16, 0.4) for i in range(30)] + [(f"e{i}", "C2", (i * 5 % 30) / 29, 0.6) for i in range(30)]
     df = spark.createDataFrame(rows, "entity string, indicator string, x double, w double")
