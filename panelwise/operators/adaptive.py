@@ -11,47 +11,60 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from panelwise.functions.guards import lit
+from panelwise.functions.relative_cells import ERROR, cell_of, upper_end
 from panelwise.functions.special import t_quantile
+from panelwise.operators.evaluate import known
 from panelwise.operators.intervals import level, residuals
 from panelwise.operators.ordered import group_quantiles
 from panelwise.panel import PERIOD
 from panelwise.session import settle
 
 
-def residual_histogram(df: DataFrame, group: Sequence[str], cell: float = 1e-3) -> DataFrame:
-    """``(group.., period, cell, n)``: absolute residuals counted on a grid. Every later step
-    sees periods x cells rows per group, however many forecasts there are."""
-    slot = F.ceil(F.round(F.col("abs_residual") / cell, 6)).cast("long")
-    return residuals(df).groupBy(*group, PERIOD, slot.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+def residual_histogram(df: DataFrame, group: Sequence[str], error: float = ERROR) -> DataFrame:
+    """``(group.., period, cell, n)``: absolute residuals counted in cells of a relative width, so that
+    their scale does not matter. Every later step sees periods x cells that occur, however many forecasts there are."""
+    size = F.abs(F.col("y") - F.col("yhat"))
+    return known(df).groupBy(*group, PERIOD, cell_of(size, error).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def rank_of(alpha: float, n: float) -> float:
+    """Place of the conformal quantile among n sorted residuals."""
+    return min(math.ceil(round((1 - alpha) * (n + 1), 9)), n)
+
+
+def moved(alpha_t: float, miss: float, alpha: float, gamma: float) -> float:
+    """The level after a period in which the share ``miss`` lay outside."""
+    return min(max(alpha_t + gamma * (alpha - miss), 0.001), 0.999)
 
 
 def adaptive_widths(
-    df: DataFrame, group: Sequence[str], alpha: float = 0.1, gamma: float = 0.05, cell: float = 1e-3
+    df: DataFrame, group: Sequence[str], alpha: float = 0.1, gamma: float = 0.05, error: float = ERROR
 ) -> DataFrame:
     """``(group.., period, alpha_t, half_width, miss)`` for every period after the first.
 
     Before a period the half-width is the conformal quantile of all earlier residuals
-    at level alpha_t; then alpha_t moves by gamma (alpha - share missed). The recursion
-    runs over periods, on histograms."""
-    hist = residual_histogram(df, group, cell)
+    at level alpha_t, larger by the part ``error`` at most; then alpha_t moves by
+    gamma (alpha - share missed). The recursion runs over periods, on counts of the cells that occur."""
+    hist = residual_histogram(df, group, error).withColumn("end", upper_end(F.col("cell"), error))
     fields = [f for f in hist.schema.fields if f.name in group or f.name == PERIOD]
     schema = T.StructType(
         [*fields, *[T.StructField(n, T.DoubleType()) for n in ("alpha_t", "half_width", "miss")]]
     )
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = np.zeros(int(pdf["cell"].max()) + 1)
+        cells, first, slots = np.unique(pdf["cell"].to_numpy(), return_index=True, return_inverse=True)
+        ends, seen = pdf["end"].to_numpy(float)[first], np.zeros(len(cells))
+        parts = pdf.assign(slot=slots).groupby(PERIOD)
         a, out = alpha, []
-        for period, part in sorted(pdf.groupby(PERIOD), key=lambda kv: kv[0]):
-            cells, counts = part["cell"].to_numpy(int), part["n"].to_numpy(float)
+        for period, part in sorted(parts, key=lambda kv: kv[0]):
+            mine, counts = part["slot"].to_numpy(int), part["n"].to_numpy(float)
             n = seen.sum()
             if n > 0:
-                rank = min(math.ceil(round((1 - a) * (n + 1), 9)), n)
-                width = int(np.searchsorted(np.cumsum(seen), rank - 1e-9)) * cell
-                miss = counts[cells * cell > width + 1e-12].sum() / counts.sum()
-                out.append((period, a, width, miss))
-                a = min(max(a + gamma * (alpha - miss), 0.001), 0.999)
-            np.add.at(seen, cells, counts)
+                at = int(np.searchsorted(np.cumsum(seen), rank_of(a, n) - 1e-9))
+                miss = counts[mine > at].sum() / counts.sum()
+                out.append((period, a, ends[at], miss))
+                a = moved(a, miss, alpha, gamma)
+            np.add.at(seen, mine, counts)
         rows = pd.DataFrame(out, columns=[PERIOD, "alpha_t", "half_width", "miss"])
         for name in group:
             rows[name] = pdf[name].iloc[0]

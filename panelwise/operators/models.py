@@ -20,6 +20,7 @@ from panelwise.functions.guards import lit
 from panelwise.operators.evaluate import metric_summary
 from panelwise.operators.linear import covariance, linear_expression, moments
 from panelwise.operators.moment_fits import penalty_grid
+from panelwise.operators.ordered import running_sums
 from panelwise.operators.splits import walk_forward
 from panelwise.panel import PERIOD
 from panelwise.session import settle
@@ -172,37 +173,34 @@ def fourier_ridge(
 class QuantileForest:
     """Random forest whose leaves keep the distribution of the target.
 
-    A leaf is summarised by counts on a grid of the target, so that predicting joins
-    a row with at most ``grid`` cells per tree and never with training rows."""
+    A leaf is one row with an array of at most 2 * ``cells`` values and their shares, so a row
+    meets one row for each tree and never training rows."""
 
     model: object
-    cells: DataFrame
+    leaves: DataFrame
     x: list[str]
-    low: float
-    step: float
 
     def quantiles(self, df: DataFrame, keys: Sequence[str], levels: dict[str, float]) -> DataFrame:
-        leaves = _leaves(self.model, df, self.x, keys)
-        weights = leaves.join(self.cells, ["tree", "leaf"]).groupBy(*keys, "cell").agg(F.sum("share").alias("w"))
-        per = weights.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cell", "w"))).alias("_c"))
-        total = F.aggregate("_c", lit(0), lambda a, c: a + c["w"])
+        mine = _leaves(self.model, df, self.x, keys).join(self.leaves, ["tree", "leaf"])
+        per = mine.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("cells"))).alias("_c"))
+        total = F.aggregate("_c", lit(0), lambda a, c: a + c["share"])
 
         def at(q: float) -> Column:
-            # walk up the cells until the running weight reaches q of the total
-            start = F.struct(lit(0).alias("w"), F.lit(None).cast("int").alias("cell"))
+            # walk up the values until the running share reaches q of the total
+            start = F.struct(lit(0).alias("w"), F.lit(None).cast("double").alias("value"))
             end = F.aggregate(
                 "_c",
                 start,
                 lambda a, c: F.struct(
-                    (a["w"] + c["w"]).alias("w"),
-                    F.when(a["cell"].isNotNull(), a["cell"])
-                    .when(a["w"] + c["w"] >= q * F.col("_t") - 1e-9, c["cell"])
-                    .alias("cell"),
+                    (a["w"] + c["share"]).alias("w"),
+                    F.when(a["value"].isNotNull(), a["value"])
+                    .when(a["w"] + c["share"] >= q * F.col("_t") - 1e-9, c["value"])
+                    .alias("value"),
                 ),
             )
-            return end["cell"] * self.step + self.low
+            return end["value"]
 
-        mean = F.aggregate("_c", lit(0), lambda a, c: a + c["w"] * (c["cell"] * self.step + self.low)) / F.col("_t")
+        mean = F.aggregate("_c", lit(0), lambda a, c: a + c["share"] * c["value"]) / F.col("_t")
         return per.withColumn("_t", total).select(*keys, mean.alias("mean"), *[at(q).alias(n) for n, q in levels.items()])
 
 
@@ -211,17 +209,25 @@ def _leaves(model, df: DataFrame, x: Sequence[str], keys: Sequence[str]) -> Data
     return rows.select(*keys, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
 
 
-def quantile_forest(df: DataFrame, x: Sequence[str], y: str, keys: Sequence[str], trees: int = 20, depth: int = 5, grid: int = 256) -> QuantileForest:
+def quantile_forest(df: DataFrame, x: Sequence[str], y: str, keys: Sequence[str], trees: int = 20, depth: int = 5, cells: int = 128, limit: int | None = None) -> QuantileForest:
+    """A forest whose leaves keep every value with its share while they are at most ``cells`` many; else
+    values next to each other by rank are one cell, at their mean; a value of more than 1 / ``cells`` of the rows has its own.
+    A cell of several values holds less than 2 / ``cells`` of the leaf's rows, so ranks are off by less than
+    that share wherever the target lies and whatever its scale."""
     rows = df.where(F.col(y).isNotNull())
-    low, high = rows.agg(F.min(y), F.max(y)).first()
-    step = (high - low) / (grid - 1) or 1.0
     model = RandomForestRegressor(featuresCol="_x", labelCol=y, numTrees=trees, maxDepth=depth, seed=42).fit(_vectors(rows, x))
-    leaves = _leaves(model, rows, x, [*keys, y])
-    cell = F.round((F.col(y) - low) / lit(step)).cast("int")
-    counts = leaves.groupBy("tree", "leaf", cell.alias("cell")).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = counts.groupBy("tree", "leaf").agg(F.sum("_n").alias("_t"))
-    cells = settle(counts.join(sizes, ["tree", "leaf"]).select("tree", "leaf", "cell", (F.col("_n") / F.col("_t")).alias("share")))
-    return QuantileForest(model, cells, list(x), float(low), float(step))
+    place = ["tree", "leaf"]
+    counts = settle(_leaves(model, rows, x, [*keys, y]).groupBy(*place, F.col(y).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("_n")))
+    sizes = counts.groupBy(*place).agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_values"))
+    run = running_sums(counts, place, "value", {"_upto": F.col("_n")}, limit).join(sizes, place)
+    before = (F.col("_upto") - F.col("_n")) * cells
+    heavy = F.col("_n") * cells > F.col("_t")
+    own = F.struct(F.when((F.col("_values") <= cells) | heavy, F.col("value")).alias("value"), F.floor(before / F.col("_t")).alias("slot"))
+    merged = run.groupBy(*place, own.alias("_own")).agg(
+        (F.sum(F.col("value") * F.col("_n")) / F.sum("_n")).alias("value"), (F.sum("_n") / F.first("_t")).alias("share")
+    )
+    kept = merged.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("value", "share"))).alias("cells"))
+    return QuantileForest(model, settle(kept), list(x))
 
 
 def mean_importance(parts: Sequence[dict[str, float]]) -> dict[str, float]:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from panelwise.functions.guards import lit
+from panelwise.functions.relative_cells import ERROR, upper_end
 from panelwise.operators.adaptive import residual_histogram
 from panelwise.operators.evaluate import known
 from panelwise.operators.stacking import update_weights
@@ -62,7 +63,7 @@ def update_weights_stream(
 
 def adaptive_widths_stream(
     forecasts: DataFrame, folder: str, checkpoint: str, group: Sequence[str], alpha: float = 0.1, gamma: float = 0.05,
-    cell: float = 1e-3,
+    error: float = ERROR,
 ) -> StreamingQuery:
     """Adaptive half-widths kept up to date: the state is a histogram of absolute
     residuals and the current alpha per group."""
@@ -71,11 +72,11 @@ def adaptive_widths_stream(
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         old = _previous(spark, folder, number)
-        fresh = residual_histogram(batch, group, cell).groupBy(*group, "cell").agg(F.sum("n").alias("n"))
+        fresh = residual_histogram(batch, group, error).groupBy(*group, "cell").agg(F.sum("n").alias("n"))
         if old is None:
             state = fresh.withColumn("alpha_t", lit(alpha))
         else:
-            state = _advance(old, fresh, group, alpha, gamma, cell)
+            state = _advance(old, fresh, group, alpha, gamma, error)
         state.write.mode("overwrite").parquet(f"{folder}/version-{number}")
 
     return (
@@ -86,11 +87,11 @@ def adaptive_widths_stream(
     )
 
 
-def _advance(old: DataFrame, fresh: DataFrame, group: list[str], alpha: float, gamma: float, cell: float) -> DataFrame:
+def _advance(old: DataFrame, fresh: DataFrame, group: list[str], alpha: float, gamma: float, error: float) -> DataFrame:
     """New histogram, and alpha moved by the share the current width misses."""
-    now = widths(old, group, cell)
+    now = widths(old, group, error).withColumnRenamed("cell", "_at")
     missed = fresh.join(now, group).groupBy(*group).agg(
-        (F.sum(F.when(F.col("cell") * cell > F.col("half_width") + 1e-12, F.col("n")).otherwise(F.lit(0))) / F.sum("n")).alias("_miss"),
+        (F.sum(F.when(F.col("cell") > F.col("_at"), F.col("n")).otherwise(F.lit(0))) / F.sum("n")).alias("_miss"),
         F.first("alpha_t").alias("_a"),
     )
     moved = missed.select(*group, F.least(F.greatest(F.col("_a") + gamma * (alpha - F.col("_miss")), lit(0.001)), lit(0.999)).alias("alpha_t"))
@@ -101,9 +102,9 @@ def _advance(old: DataFrame, fresh: DataFrame, group: list[str], alpha: float, g
     )
 
 
-def widths(state: DataFrame, group: Sequence[str], cell: float = 1e-3) -> DataFrame:
-    """``(group.., alpha_t, half_width)`` of a state: a running count over at most
-    one row per grid cell."""
+def widths(state: DataFrame, group: Sequence[str], error: float = ERROR) -> DataFrame:
+    """``(group.., alpha_t, cell, half_width)`` of a state: a running count over at most
+    one row per cell that occurs."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(*group).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
@@ -111,7 +112,7 @@ def widths(state: DataFrame, group: Sequence[str], cell: float = 1e-3) -> DataFr
     rank = F.least(F.ceil(F.round((1 - F.col("alpha_t")) * (whole + 1), 9)), whole)
     placed = state.withColumns({"_c": F.sum("n").over(w), "_rank": rank})
     return placed.where(F.col("_c") >= F.col("_rank")).groupBy(*group).agg(
-        F.first("alpha_t").alias("alpha_t"), (F.min("cell") * cell).alias("half_width")
+        F.first("alpha_t").alias("alpha_t"), F.min("cell").alias("cell"), upper_end(F.min("cell"), error).alias("half_width")
     )
 
 
