@@ -347,12 +347,13 @@ def forecast_ranking(spark, folder):
     """The forecast year ranked together with the history, with the historical weights."""
     panel = panel_of(spark, folder)
     grid = settle(X.dense(panel.data, panel.indicators))
-    last = settle(X.baseline_forecasts(grid, panel.indicators).where("model = 'ewma' AND period = 2001"))
+    year = grid.agg(F.max("period")).first()[0]
+    last = settle(X.baseline_forecasts(grid, panel.indicators).where((F.col("model") == "ewma") & (F.col("period") == year)))
     matrix = Q.prediction_matrix(last.withColumn("period", F.col("period") + 1), panel.indicators)
     extended = panel.with_data(settle(Q.with_history(panel.data, matrix)))
     w = two_level_weights(panel)
     scores = settle(R.method_scores(extended, w, ranked=False))
-    return R.composite_ranks(scores).where("period >= 2001")
+    return R.composite_ranks(scores).where(F.col("period") >= year)
 
 
 CC = f"""{PAIRS}, m AS MATERIALIZED (SELECT entity, period, {", ".join(CRITERIA)} FROM w WHERE period = 2001),

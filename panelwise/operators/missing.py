@@ -39,6 +39,16 @@ def fill_with_means(df: DataFrame, columns: Sequence[str], fallback: dict[str, f
     return out.withColumns(cells).select(*names)
 
 
+def fill_with_means_so_far(df: DataFrame, columns: Sequence[str], level: dict[str, str] | None = None) -> DataFrame:
+    """Missing cells get the column's mean over all rows up to their own period; if there is none, that of the
+    column named in ``level``; else 0. The means are one row for each period."""
+    per = settle(df.groupBy(PERIOD).agg(*[F.sum(c).alias(f"_s_{c}") for c in columns], *[F.count(c).alias(f"_n_{c}") for c in columns]))
+    w = Window.partitionBy(F.lit(0)).orderBy(PERIOD).rowsBetween(Window.unboundedPreceding, 0)
+    means = settle(per.select(PERIOD, *[F.try_divide(F.sum(f"_s_{c}").over(w), F.sum(f"_n_{c}").over(w)).alias(f"_avg_{c}") for c in columns]))
+    cells = {c: F.coalesce(F.col(c), F.col(f"_avg_{c}"), F.col(f"_avg_{(level or {}).get(c, c)}"), lit(0)) for c in columns}
+    return df.join(means, PERIOD).withColumns(cells).select(*df.columns)
+
+
 def missing_indicators(df: DataFrame, columns: Sequence[str], ids: Sequence[str]) -> DataFrame:
     """0/1 flags, only for columns that have a gap somewhere."""
     gaps = df.agg(*[(F.count(F.lit(1)) - F.count(c)).alias(c) for c in columns]).first().asDict()

@@ -71,12 +71,34 @@ def ridge_weights(df: DataFrame, models: Sequence[str], penalty: float = 1e-3) -
     for row in moment_rows(rows, [*models, "y"], ["component"]).toLocalIterator():
         m = grams.setdefault(row["component"], np.zeros((k + 2, k + 2)))
         m[row["i"], row["j"]] = m[row["j"], row["i"]] = row["s"]
-    weights = {}
-    for c, m in grams.items():
-        a = m[1 : k + 1, 1 : k + 1] + penalty * max(m[0, 0], 1.0) * np.eye(k)
-        w = np.maximum(np.linalg.solve(a, m[1 : k + 1, k + 1]), 0.0)
-        weights[c] = w / w.sum() if w.sum() > 0 else np.full(k, 1 / k)
-    return _weight_table(df.sparkSession, weights, models)
+    return _weight_table(df.sparkSession, {c: _shares(m, penalty) for c, m in grams.items()}, models)
+
+
+def _shares(m: np.ndarray, penalty: float) -> np.ndarray:
+    """Normalised weights from the sums of products of (1, forecasts.., y)."""
+    k = len(m) - 2
+    a = m[1 : k + 1, 1 : k + 1] + penalty * max(m[0, 0], 1.0) * np.eye(k)
+    w = np.maximum(np.linalg.solve(a, m[1 : k + 1, k + 1]), 0.0)
+    return w / w.sum() if w.sum() > 0 else np.full(k, 1 / k)
+
+
+def ridge_weights_so_far(df: DataFrame, models: Sequence[str], penalty: float = 1e-3) -> DataFrame:
+    """``(component, period, model, weight)``: for every period the ridge weights of all periods before it, equal
+    weights where there is none. One pass; K x K sums for each component and period reach the driver."""
+    k = len(models)
+    grams: dict = {(r["component"], r[PERIOD]): np.zeros((k + 2, k + 2)) for r in df.select("component", PERIOD).distinct().collect()}
+    for row in moment_rows(wide_forecasts(known(df), models), [*models, "y"], ["component", PERIOD]).toLocalIterator():
+        m = grams[row["component"], row[PERIOD]]
+        m[row["i"], row["j"]] = m[row["j"], row["i"]] = row["s"]
+    before: dict = {}
+    rows = []
+    for (c, p), m in sorted(grams.items()):
+        sums = before.setdefault(c, np.zeros_like(m))
+        w = _shares(sums, penalty) if sums[0, 0] > 0 else np.full(k, 1 / k)
+        rows += [(c, p, name, float(x)) for name, x in zip(models, w, strict=True)]
+        before[c] = sums + m
+    kind = df.schema[PERIOD].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"component string, {PERIOD} {kind}, model string, weight double")
 
 
 def non_negative_weights(gram: np.ndarray, target: np.ndarray, rounds: int = 2000) -> np.ndarray:
@@ -188,8 +210,10 @@ def weight_spread(df: DataFrame, models: Sequence[str], seed: int, resamples: in
 
 
 def ensemble(df: DataFrame, weights: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Weighted mean forecast and disagreement (weighted sd) over the models present."""
-    on = [c for c in ("component", "model") if c in weights.columns]
+    """Weighted mean forecast and disagreement (weighted sd) over the models present.
+
+    Weights are by those of component, model and period that they name."""
+    on = [c for c in ("component", "model", PERIOD) if c in weights.columns]
     rows = df.where(F.col("yhat").isNotNull()).join(weights, on)
     w, p = F.col("weight"), F.col("yhat")
     agg = rows.groupBy(*keys).agg(

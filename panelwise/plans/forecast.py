@@ -17,7 +17,7 @@ from panelwise.operators import features as X
 from panelwise.operators import intervals as I
 from panelwise.operators import stacking as S
 from panelwise.operators.critic import critic_matrix
-from panelwise.operators.missing import fill_with_means
+from panelwise.operators.missing import fill_with_means_so_far
 from panelwise.operators.models import MODELS, Fitted
 from panelwise.operators.passes import with_stats
 from panelwise.panel import ENTITY, PERIOD, to_long
@@ -44,7 +44,8 @@ def feature_stage(grid: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, l
     """One row per (entity, period): filled features and the next period's values as targets.
 
     Every family is a set of windows over one entity's periods, so the whole table
-    needs one shuffle; the gaps left are filled with column means."""
+    needs one shuffle. Gaps are filled with means over all entities up to the row's own period, so no row
+    knows a later period, whichever fold it serves."""
     w = X.over_time()
     up = w.rowsBetween(Window.unboundedPreceding, 0)
     last3 = w.rowsBetween(-2, 0)
@@ -59,7 +60,8 @@ def feature_stage(grid: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, l
         cells[f"y_{c}"] = F.lead(c).over(w)
     names = [n for n in cells if n.startswith("f_")]
     rows = settle(grid.withColumns(cells).select(ENTITY, PERIOD, *cells))
-    return settle(fill_with_means(rows, names)), names
+    level = {n: f"f_{c}" for c in columns for n in names if n.startswith(f"f_{c}_") and not n.endswith("_momentum")}
+    return settle(fill_with_means_so_far(rows, names, level)), names
 
 
 def fit_stage(
@@ -113,7 +115,9 @@ def run(
     out.weights = S.ridge_weights(out.out_of_fold, list(models))
     if mode == "fit_only":
         return out
-    past = settle(S.ensemble(out.out_of_fold, out.weights).withColumn("model", F.lit("ensemble")))
+    # each fold is combined with weights of the folds before it, so that its errors are those of a forecast
+    earlier = settle(S.ridge_weights_so_far(out.out_of_fold, list(models)))
+    past = settle(S.ensemble(out.out_of_fold, earlier).withColumn("model", F.lit("ensemble")))
     out.metrics = settle(E.metric_summary(out.out_of_fold, ["model", "component"]).unionByName(E.metric_summary(past, ["model", "component"])))
     if mode == "evaluate_only":
         return out
