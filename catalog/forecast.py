@@ -405,7 +405,7 @@ def ablation(spark, folder):
 
 @query("metric_bootstrap")
 def metric_bootstrap(spark, folder):
-    return E.bootstrap(forecasts(spark, folder), ["model"], ["entity", "period", "component"], seed=11, resamples=200)
+    return E.bootstrap(forecasts(spark, folder), ["model"], ["entity", "period", "component"], seed=11)
 
 
 @query("payload_checks", f"""{PRED} SELECT count(*) AS n_rows, count(*) - count(y) AS y_missing, 0::BIGINT AS y_not_finite, count(*) - count(yhat) AS yhat_missing, 0::BIGINT AS yhat_not_finite, 0::BIGINT AS duplicate_keys FROM pred""")

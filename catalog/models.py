@@ -188,7 +188,7 @@ def stack_log_score(spark, folder):
 
 @query("stack_weight_spread")
 def stack_weight_spread(spark, folder):
-    return S.weight_spread(forecasts(spark, folder), BASE, seed=3, resamples=50)
+    return S.weight_spread(forecasts(spark, folder), BASE, seed=3)
 
 
 @query("stack_update")
@@ -202,7 +202,7 @@ def stack_update(spark, folder):
 @query("covariate_shift")
 def covariate_shift(spark, folder):
     rows = Q.standard_panel(panel_of(spark, folder, False).data, INDICATORS)
-    return S.shift_statistic(settle(rows.withColumn("late", (F.col("period") >= 2000).cast("int"))), INDICATORS, "late", permutations=20)
+    return S.shift_statistic(settle(rows.withColumn("late", (F.col("period") >= 2000).cast("int"))), INDICATORS, "late")
 
 
 @query("shift_importance_weights")
@@ -427,7 +427,7 @@ def importance_stability(spark, folder):
         model = M.bayesian_ridge(features.where(f"y_{c} IS NOT NULL"), names, f"y_{c}")
         rows += [(c, f, float(v)) for f, v in model.importance.items()]
     parts = spark.createDataFrame(rows, "component string, feature string, importance double")
-    return Q.importance_stability(parts, seed=5, draws=50)
+    return Q.importance_stability(parts, seed=5)
 
 
 def checks(spark, folder):
@@ -444,7 +444,7 @@ def forecast_checks(spark, folder):
 def run_verdict(spark, folder):
     """Forecast checks and ranking robustness in one line."""
     scores, ranked = both(spark, folder)
-    noise = H.criterion_sensitivity(settle(B.criterion_scores(scores)), seed=7, replicates=10)
+    noise = H.criterion_sensitivity(settle(B.criterion_scores(scores)), seed=7)
     robust = settle(H.robustness(noise, H.criterion_consistency(scores, ranked)))
     return Q.verdict(settle(checks(spark, folder)), robust)
 

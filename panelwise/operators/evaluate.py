@@ -4,9 +4,11 @@ Every metric is a grouped aggregate with map-side partial sums."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from panelwise.functions.guards import lit, ratio
 from panelwise.functions.noise import poisson_one
@@ -201,13 +203,9 @@ def bootstrap(
     """Interval of a metric by resampling rows with Poisson(1) counts from a hash of
     (replicate, key): no resample is gathered, each replicate is a weighted aggregate.
 
-    ``metric(w, y, yhat)`` is a weighted aggregate; the default is the mean absolute error."""
-    metric = metric or (lambda w, y, p: ratio(F.sum(w * F.abs(y - p)), F.sum(w).cast("double")))
-    rows = known(df).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
-    w = poisson_one(seed, F.col("replicate"), *[F.col(k) for k in keys])
-    per = rows.withColumn("_w", w).where("_w > 0").groupBy(*group, "replicate").agg(
-        metric(F.col("_w"), F.col("y"), F.col("yhat")).alias("value")
-    )
+    The default is the mean absolute error: tasks keep its sums for all replicates and no row is copied. Any other
+    ``metric(w, y, yhat)``, a weighted aggregate, copies a row for each replicate that draws it."""
+    per = _error_replicates(df, list(group), keys, seed, resamples) if metric is None else _replicates(df, group, keys, seed, metric, resamples)
     tail = (1 - level) / 2
     # one value per replicate
     return per.groupBy(*group).agg(
@@ -217,6 +215,39 @@ def bootstrap(
     )
 
 
+def _replicates(df: DataFrame, group: Sequence[str], keys: Sequence[str], seed: int, metric: Callable, resamples: int) -> DataFrame:
+    rows = known(df).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+    w = poisson_one(seed, F.col("replicate"), *[F.col(k) for k in keys])
+    return rows.withColumn("_w", w).where("_w > 0").groupBy(*group, "replicate").agg(
+        metric(F.col("_w"), F.col("y"), F.col("yhat")).alias("value")
+    )
+
+
+def _error_replicates(df: DataFrame, group: list[str], keys: Sequence[str], seed: int, resamples: int) -> DataFrame:
+    """``(group.., replicate, value)``: each task sends two sums for each group and replicate."""
+    draws = F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda i: poisson_one(seed, i, *[F.col(k) for k in keys]).cast("tinyint"))
+    rows = known(df).select(*group, F.abs(F.col("y") - F.col("yhat")).cast("double").alias("_e"), draws.alias("_draws"))
+    at = range(1, resamples + 1)
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for start in range(0, len(batch), 1000):
+                piece = batch.iloc[start : start + 1000]
+                parts = piece.groupby(group, dropna=False, sort=False) if group else [((), piece)]
+                for key, part in parts:
+                    drawn = np.stack(part["_draws"].to_numpy()).astype(float)
+                    both = np.vstack([part["_e"].to_numpy() @ drawn, drawn.sum(axis=0)])
+                    sums[key] = sums[key] + both if key in sums else both
+        for key, (errors, counts) in sums.items():
+            named = {g: pd.Series([None if pd.isna(v) else v] * resamples, dtype=object) for g, v in zip(group, key, strict=True)}
+            yield pd.DataFrame({**named, "replicate": at, "_s": errors, "_n": counts})
+
+    out = T.StructType([rows.schema[g] for g in group] + [T.StructField("replicate", T.LongType()), T.StructField("_s", T.DoubleType()), T.StructField("_n", T.DoubleType())])
+    whole = rows.mapInPandas(partial, out).groupBy(*group, "replicate").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
+    return whole.where("_n > 0").select(*group, "replicate", (F.col("_s") / F.col("_n")).alias("value"))
+
+
 def standardised(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Columns to mean 0 and sd 1 (ddof 0); a constant column becomes 0."""
     stats = {f"_m_{c}": F.avg(c) for c in columns} | {f"_s_{c}": F.stddev_pop(c) for c in columns}
