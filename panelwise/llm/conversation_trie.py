@@ -270,11 +270,13 @@ def prefix_trie(turns: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     upper = {"depth": F.col("depth") - 1, "x1": F.col("p1"), "x2": F.col("p2")}
 
     def with_parent(table: DataFrame) -> DataFrame:
-        """The root is the parent of so many nodes that it is not joined."""
+        """The root is the parent of so many nodes that it is not joined. A parent that is no row of ``nodes`` was proven to
+        be one conversation's, so it and the node below it, marked by chance, are that conversation's own."""
         first = table.filter("depth = 1").withColumn("parent_conv_id", F.lit(root).cast("long"))
         own = [f"own_{c}" for c in NODE]
         deep = table.filter("depth > 1").withColumnsRenamed(dict(zip(NODE, own, strict=True)))
         joined = deep.withColumns({c: e if c != "depth" else F.col("own_depth") - 1 for c, e in upper.items()}).join(reps, NODE, "left")
+        joined = joined.withColumn("parent_conv_id", F.coalesce("parent_conv_id", "conv_id"))
         joined = joined.drop(*NODE).withColumnsRenamed(dict(zip(own, NODE, strict=True)))
         top_node = table.filter("depth = 0").withColumn("parent_conv_id", F.lit(None).cast("long"))
         return top_node.unionByName(first).unionByName(joined)

@@ -2,6 +2,7 @@ import hashlib
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from panelwise.llm import conversation_trie
@@ -83,6 +84,17 @@ def test_all_digests_may_be_shared(spark, monkeypatch):
     assert trie(spark.createDataFrame(rows(), SCHEMA)) == plain(rows())
 
 
+def test_marked_below_a_proven_prefix(spark, monkeypatch):
+    """Cells that are full by chance mark prefixes below ones that are proven; their parents are still named."""
+    found = sketch
+    def crowded(prefixes, bits):
+        out = found(prefixes, bits)
+        out.cells |= np.random.default_rng(3).integers(0, 256, len(out.cells), dtype=np.uint8)
+        return out
+    monkeypatch.setattr(conversation_trie, "sketch", crowded)
+    assert trie(spark.createDataFrame(rows(), SCHEMA)) == plain(rows())
+
+
 def test_sketch_never_falls_below(spark):
     prefixes = conversation_trie.digests(with_shared_starts(ordered_turns(spark.createDataFrame(rows(), SCHEMA)))).toPandas()
     found = sketch(spark.createDataFrame(prefixes))
