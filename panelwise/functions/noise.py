@@ -4,8 +4,12 @@ partitioning nor on a task being run again."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
+from hashlib import md5
 
-from pyspark.sql import Column, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def uniform(seed: int, *keys: Column) -> Column:
@@ -31,3 +35,37 @@ def poisson_one(seed: int, *keys: Column) -> Column:
         out = F.when(u >= below, k + 1).otherwise(out)
         mass /= k + 1
     return out
+
+
+def poisson_key(*keys: Column) -> Column:
+    """The keys as :func:`poisson_counts` reads them."""
+    return F.concat_ws("|", F.lit(""), *[F.coalesce(k.cast("string"), F.lit("")) for k in keys])
+
+
+def poisson_counts(seed: int, replicates: int, keys: Sequence[str]) -> np.ndarray:
+    """``poisson_one(seed, replicate, key..)`` for replicates 1, 2, .. of each key of :func:`poisson_key`, inside a task: one MD5 a draw."""
+    steps = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(12)])
+    heads = [f"{seed}|count|{i}".encode() for i in range(1, replicates + 1)]
+    out = np.zeros((len(keys), replicates), np.uint8)
+    for row, key in enumerate(keys):
+        tail = key.encode()
+        digests = b"".join([md5(h + tail, usedforsecurity=False).digest() for h in heads])
+        u = (np.frombuffer(digests, ">u8")[::2] >> np.uint64(12)).astype(float) * 2.0**-52
+        out[row] = np.searchsorted(steps, u, side="right")
+    return out
+
+
+def by_key(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` in parts by ``key``, equal keys next to each other: as many parts as there is work for, however few the bytes."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(n, key).sortWithinPartitions(key)
+
+
+def with_counts(batches: Iterator[pd.DataFrame], key: str, seed: int, replicates: int, most: int = 1000) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Pieces of ``most`` rows with their counts in every replicate (rows x replicates); equal keys of a piece are drawn once."""
+    for batch in batches:
+        for start in range(0, len(batch), most):
+            piece = batch.iloc[start : start + most]
+            names, at = np.unique(piece[key].to_numpy(str), return_inverse=True)
+            yield piece, poisson_counts(seed, replicates, names.tolist())[at]

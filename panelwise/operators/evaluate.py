@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from panelwise.functions.guards import lit, ratio
-from panelwise.functions.noise import poisson_one
+from panelwise.functions.noise import by_key, poisson_key, poisson_one, with_counts
 from panelwise.operators.ordered import group_quantiles, pearson, top_n
 from panelwise.operators.passes import attach, with_stats
 from panelwise.panel import ENTITY, PERIOD
@@ -224,24 +224,23 @@ def _replicates(df: DataFrame, group: Sequence[str], keys: Sequence[str], seed:
 
 
 def _error_replicates(df: DataFrame, group: list[str], keys: Sequence[str], seed: int, resamples: int) -> DataFrame:
-    """``(group.., replicate, value)``: each task sends two sums for each group and replicate."""
-    draws = F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda i: poisson_one(seed, i, *[F.col(k) for k in keys]).cast("tinyint"))
-    rows = known(df).select(*group, F.abs(F.col("y") - F.col("yhat")).cast("double").alias("_e"), draws.alias("_draws"))
+    """``(group.., replicate, value)``: rows of a group and key are added up first, and a key is drawn in one task, once for all
+    groups; each task sends two sums for each group and replicate."""
+    errors = known(df).select(*group, F.abs(F.col("y") - F.col("yhat")).cast("double").alias("_e"), poisson_key(*[F.col(k) for k in keys]).alias("_key"))
+    rows = by_key(errors.groupBy(*group, "_key").agg(F.sum("_e").alias("_e"), F.count("_e").alias("_n")), "_key")
     at = range(1, resamples + 1)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            for start in range(0, len(batch), 1000):
-                piece = batch.iloc[start : start + 1000]
-                parts = piece.groupby(group, dropna=False, sort=False) if group else [((), piece)]
-                for key, part in parts:
-                    drawn = np.stack(part["_draws"].to_numpy()).astype(float)
-                    both = np.vstack([part["_e"].to_numpy() @ drawn, drawn.sum(axis=0)])
-                    sums[key] = sums[key] + both if key in sums else both
-        for key, (errors, counts) in sums.items():
+        for piece, counts in with_counts(batches, "_key", seed, resamples):
+            piece, counts = piece.reset_index(drop=True), counts.astype(float)
+            parts = piece.groupby(group, dropna=False, sort=False) if group else [((), piece)]
+            for key, part in parts:
+                both = part[["_e", "_n"]].to_numpy(float).T @ counts[part.index]
+                sums[key] = sums[key] + both if key in sums else both
+        for key, (total_, n) in sums.items():
             named = {g: pd.Series([None if pd.isna(v) else v] * resamples, dtype=object) for g, v in zip(group, key, strict=True)}
-            yield pd.DataFrame({**named, "replicate": at, "_s": errors, "_n": counts})
+            yield pd.DataFrame({**named, "replicate": at, "_s": total_, "_n": n})
 
     out = T.StructType([rows.schema[g] for g in group] + [T.StructField("replicate", T.LongType()), T.StructField("_s", T.DoubleType()), T.StructField("_n", T.DoubleType())])
     whole = rows.mapInPandas(partial, out).groupBy(*group, "replicate").agg(F.sum("_s").alias("_s"), F.sum("_n").alias("_n"))
