@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwise.functions.guards import clip, lit, ratio, total
-from panelwise.functions.noise import poisson_one, uniform
+from panelwise.functions.noise import by_key, poisson_key, uniform, with_counts
 from panelwise.operators.evaluate import known, metric_summary
 from panelwise.operators.linear import covariance, moment_rows, moments
 from panelwise.operators.splits import fold_table
@@ -172,25 +172,24 @@ def share_across_components(weights: DataFrame, strength: float = 0.3) -> DataFr
 def weight_spread(df: DataFrame, models: Sequence[str], seed: int, resamples: int = 200, penalty: float = 1e-3) -> DataFrame:
     """Sd of the ridge weights when whole entities are resampled.
 
-    An entity's counts in the resamples are hashes. Each task turns its rows into
+    An entity's counts in the resamples are hashes, drawn once in the task that holds its rows. Each task turns its rows into
     resample-weighted sums (resamples x K x K numbers per component), so neither the
     rows nor the shuffle grow with the number of resamples."""
-    draws = F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda i: poisson_one(seed, i, F.col(ENTITY)).cast("double"))
     names = [*models, "y"]
     rows = wide_forecasts(known(df), models).where(" AND ".join(f"`{n}` IS NOT NULL" for n in names))
     k = len(names)
 
     def partial(batches):
         sums: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for c, part in pdf.groupby("component", sort=False):
+        for piece, counts in with_counts(batches, "_key", seed, resamples, 10_000):
+            for c, part in piece.reset_index(drop=True).groupby("component", sort=False):
                 v = part[names].to_numpy(float)
                 outer = (v[:, :, None] * v[:, None, :]).reshape(len(v), k * k)
-                sums[c] = sums.get(c, 0.0) + np.stack(part["_draws"].to_numpy()).T @ np.column_stack([outer, np.ones(len(v))])
+                sums[c] = sums.get(c, 0.0) + counts[part.index].T.astype(float) @ np.column_stack([outer, np.ones(len(v))])
         for c, m in sums.items():
             yield pd.DataFrame({"component": c, "replicate": range(len(m)), "sums": list(m)})
 
-    drawn = rows.select("component", *names, draws.alias("_draws"))
+    drawn = by_key(rows.select("component", *names, poisson_key(F.col(ENTITY)).alias("_key")), "_key")
     parts = drawn.mapInPandas(partial, "component string, replicate int, sums array<double>")
     whole = parts.select("component", "replicate", F.posexplode("sums").alias("i", "s")).groupBy("component", "replicate", "i").agg(F.sum("s").alias("s"))
     state: dict = {}
