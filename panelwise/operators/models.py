@@ -6,11 +6,12 @@ Every fitted model is a function from a DataFrame to the same DataFrame with a
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -181,32 +182,48 @@ class QuantileForest:
     x: list[str]
 
     def quantiles(self, df: DataFrame, keys: Sequence[str], levels: dict[str, float]) -> DataFrame:
-        mine = _leaves(self.model, df, self.x, keys).join(self.leaves, ["tree", "leaf"])
-        per = mine.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("cells"))).alias("_c"))
-        total = F.aggregate("_c", lit(0), lambda a, c: a + c["share"])
-
-        def at(q: float) -> Column:
-            # walk up the values until the running share reaches q of the total
-            start = F.struct(lit(0).alias("w"), F.lit(None).cast("double").alias("value"))
-            end = F.aggregate(
-                "_c",
-                start,
-                lambda a, c: F.struct(
-                    (a["w"] + c["share"]).alias("w"),
-                    F.when(a["value"].isNotNull(), a["value"])
-                    .when(a["w"] + c["share"] >= q * F.col("_t") - 1e-9, c["value"])
-                    .alias("value"),
-                ),
-            )
-            return end["value"]
-
-        mean = F.aggregate("_c", lit(0), lambda a, c: a + c["share"] * c["value"]) / F.col("_t")
-        return per.withColumn("_t", total).select(*keys, mean.alias("mean"), *[at(q).alias(n) for n, q in levels.items()])
+        """Mean and quantiles of the leaves that a key's rows fall into. Only leaf numbers are shuffled, one for each tree; the
+        leaves, at most trees x 2 ** depth rows, go to every task, and rows of the same leaves are worked out once a batch."""
+        rows = _placed(self.model, df, self.x).select(*keys, vector_to_array("_leaf").cast("array<int>").alias("_leaf"))
+        per = rows.groupBy(*keys).agg(F.flatten(F.collect_list("_leaf")).alias("_leaf"))
+        trees, known, names = self.model.getNumTrees, {}, ["mean", *levels]
+        for r in self.leaves.select("tree", "leaf", F.col("cells.value").alias("value"), F.col("cells.share").alias("share")).toLocalIterator():
+            known[r["tree"], int(r["leaf"])] = np.array(r["value"], float), np.array(r["share"], float)
+        shared = df.sparkSession.sparkContext.broadcast(known)
+        at = np.array(list(levels.values()), float)
+
+        def measures(leaves: tuple) -> np.ndarray | None:
+            found = [shared.value[i % trees, v] for i, v in enumerate(leaves) if (i % trees, v) in shared.value]
+            if not found:
+                return None
+            value, share = (np.concatenate(p) for p in zip(*found, strict=True))
+            order = np.argsort(value, kind="stable")
+            value, share = value[order], share[order]
+            upto = np.cumsum(share)
+            first = np.searchsorted(upto, at * upto[-1] - 1e-9)
+            return np.r_[share @ value / upto[-1], value[np.minimum(first, len(value) - 1)]]
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                seen: dict[tuple, np.ndarray] = {}
+                keys_ = [tuple(v) for v in batch.column("_leaf").to_pylist()]
+                for leaves in keys_:
+                    if leaves not in seen:
+                        seen[leaves] = measures(leaves)
+                kept = [i for i, v in enumerate(keys_) if seen[v] is not None]
+                out = np.array([seen[keys_[i]] for i in kept]).reshape(len(kept), len(names))
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(pa.array(kept, pa.int64())) for k in keys], *[pa.array(c) for c in out.T]], names=[*keys, *names])
+
+        schema = T.StructType([*[df.schema[k] for k in keys], *[T.StructField(n, T.DoubleType()) for n in names]])
+        return per.mapInArrow(score, schema)
+
+
+def _placed(model, df: DataFrame, x: Sequence[str]) -> DataFrame:
+    return model.setLeafCol("_leaf").transform(_vectors(df, x))
 
 
 def _leaves(model, df: DataFrame, x: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    rows = model.setLeafCol("_leaf").transform(_vectors(df, x))
-    return rows.select(*keys, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
+    return _placed(model, df, x).select(*keys, F.posexplode(vector_to_array("_leaf")).alias("tree", "leaf"))
 
 
 def quantile_forest(df: DataFrame, x: Sequence[str], y: str, keys: Sequence[str], trees: int = 20, depth: int = 5, cells: int = 128, limit: int | None = None) -> QuantileForest:
