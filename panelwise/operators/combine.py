@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from panelwise.functions.guards import clip, lit, ratio, score_key
+from panelwise.functions.guards import clip, lit, ratio, score_key, total
 from panelwise.operators.ordered import add_ranks, spearman, top_n
 from panelwise.operators.passes import with_stats
 from panelwise.panel import ENTITY, PERIOD
@@ -74,14 +74,27 @@ def reweigh(means: DataFrame, scenarios: DataFrame, ranked: bool = True) -> Data
             "scenario", "criterion", F.when(F.col("_t") > 0, ratio(F.col("w"), F.col("_t"))).otherwise(F.col("w")).alias("_w")
         )
     )
-    out = (
-        means.join(share, "criterion")
-        .groupBy("scenario", PERIOD, ENTITY)
-        .agg(F.sum(F.col("mean") * F.col("_w")).alias("composite"))
+    # few criteria: a row of means meets each scenario's weights where it lies, so rows are shuffled once, not once a scenario
+    criteria = [r[0] for r in share.select("criterion").where("criterion IS NOT NULL").distinct().orderBy("criterion").collect()]
+    if not criteria:
+        return _ranked(means.join(share, "criterion").select("scenario", PERIOD, ENTITY, (F.col("mean") * F.col("_w")).alias("composite")), ranked)
+    of = lambda c: F.sum(F.when(F.col("criterion") == c, F.col("_w")))
+    weights = share.groupBy("scenario").agg(*[of(c).alias(f"_w{i}") for i, c in enumerate(criteria)])
+    wide = settle(
+        means.where(F.col("criterion").isin(criteria)).groupBy(PERIOD, ENTITY).agg(
+            *[F.sum(F.when(F.col("criterion") == c, F.col("mean"))).alias(f"_m{i}") for i, c in enumerate(criteria)]
+        )
     )
+    parts = [F.col(f"_m{i}") * F.col(f"_w{i}") for i in range(len(criteria))]
+    composite = F.when(F.coalesce(*parts).isNotNull(), total(F.coalesce(v, lit(0)) for v in parts))
+    out = wide.crossJoin(F.broadcast(settle(weights))).select("scenario", PERIOD, ENTITY, composite.alias("composite"))
+    return _ranked(out, ranked)
+
+
+def _ranked(out: DataFrame, ranked: bool) -> DataFrame:
     if not ranked:
         return out
-    keyed = settle(out.withColumn("_key", score_key(F.col("composite"))))
+    keyed = out.withColumn("_key", score_key(F.col("composite")))
     return add_ranks(keyed, ["scenario", PERIOD], {"rank": ("_key", True, "truncated")}).drop("_key")
 
 

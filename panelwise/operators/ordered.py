@@ -76,20 +76,22 @@ def add_ranks(
     group: Sequence[str],
     ranks: Mapping[str, tuple[str, bool, str]],
     limit: int | None = None,
+    biggest: int | None = None,
 ) -> DataFrame:
     """Add rank columns ``{name: (value, descending, method)}`` within ``group``.
 
     ``min``: 1 + number of better rows. ``truncated``: the average rank of the
     tied rows, cut to an integer. ``average``: the average rank. A NULL value
-    has a NULL rank.
+    has a NULL rank. ``biggest``: a bound on the rows of a group, if known; else they are counted.
     """
     group, limit = list(group), limit or WINDOW_ROWS
-    small = largest_group(df, group) <= limit
+    small = (largest_group(df, group) if biggest is None else biggest) <= limit
     for name, (value, descending, method) in ranks.items():
         if small:
             order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-            first = F.rank().over(Window.partitionBy(*group).orderBy(order)).cast("long")
-            ties = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
+            placed = Window.partitionBy(*group).orderBy(order)
+            first = F.rank().over(placed).cast("long")
+            ties = F.count(F.lit(1)).over(placed.rangeBetween(Window.currentRow, Window.currentRow))  # one sort for both
             df = df.withColumn(name, F.when(F.col(value).isNotNull(), _rank_of(first, ties, method)))
         else:
             table = rank_table(df, group, value, descending, method, limit).withColumnRenamed("_rank", name)
