@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelwise.functions.guards import clip, lit, ratio, score_key
 from panelwise.functions.noise import uniform
-from panelwise.operators.ordered import add_ranks, pearson, spearman
+from panelwise.operators.ordered import add_ranks, largest_group, pearson, spearman
 from panelwise.panel import ENTITY, PERIOD
 from panelwise.session import settle
 
@@ -179,20 +179,25 @@ def criterion_sensitivity(
 ) -> DataFrame:
     """1 - Spearman between a criterion's mean scores and the same with uniform noise,
     averaged over the replicates and scaled by the largest, per period."""
-    rows = settle(
-        means.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).select(
-            PERIOD,
-            "criterion",
-            "replicate",
-            score_key(F.col("mean")).alias("_x"),
-            F.greatest(
-                F.col("mean")
-                + spread * (2 * uniform(seed, F.col(PERIOD), F.col("criterion"), F.col(ENTITY), F.col("replicate")) - 1),
-                lit(0),
-            ).alias("_y"),
-        )
+    # the ranks without noise are those of every replicate
+    base = means.withColumn("_x", score_key(F.col("mean"))).where(F.col("_x").isNotNull())
+    base = add_ranks(settle(base), [PERIOD, "criterion"], {"_ra": ("_x", True, "average")})
+    base = settle(base.select(PERIOD, "criterion", ENTITY, "mean", "_ra"))
+    rows = base.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).select(
+        PERIOD,
+        "criterion",
+        "replicate",
+        "_ra",
+        F.greatest(
+            F.col("mean")
+            + spread * (2 * uniform(seed, F.col(PERIOD), F.col("criterion"), F.col(ENTITY), F.col("replicate")) - 1),
+            lit(0),
+        ).alias("_y"),
     )
-    rho = spearman(rows, [PERIOD, "criterion", "replicate"], "_x", "_y")
+    group = [PERIOD, "criterion", "replicate"]
+    biggest = largest_group(base, group[:2])
+    ranked = add_ranks(rows, group, {"_rb": ("_y", True, "average")}, biggest=biggest)
+    rho = ranked.groupBy(*group).agg(pearson("_ra", "_rb").alias("rho"))
     loss = rho.groupBy(PERIOD, "criterion").agg(
         F.avg(1 - F.greatest(F.coalesce("rho", lit(0)), lit(0))).alias("_loss")
     )
