@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from panelwise.functions.guards import lit
@@ -20,11 +20,22 @@ from panelwise.panel import ENTITY, PERIOD
 from panelwise.session import settle
 
 
-def _entity_factor(x: np.ndarray, t: np.ndarray, b: np.ndarray, c: np.ndarray, penalty: float) -> np.ndarray:
-    """Ridge solution of one entity's factors from its observed cells."""
-    rows, cols = np.nonzero(~np.isnan(x))
-    z = b[t[rows]] * c[cols]
-    return np.linalg.solve(z.T @ z + penalty * np.eye(b.shape[1]), z.T @ x[rows, cols])
+def _sums(index: np.ndarray, cells: np.ndarray, size: int) -> np.ndarray:
+    """Column sums of ``cells`` by ``index``."""
+    return np.column_stack([np.bincount(index, column, size) for column in cells.T])
+
+
+def _products(z: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """What a cell adds to its normal equations: z z' and z x."""
+    return np.column_stack([(z[:, :, None] * z[:, None, :]).reshape(len(z), -1), z * x[:, None]])
+
+
+def _entity_factors(x: np.ndarray, t: np.ndarray, e: np.ndarray, n: int, b: np.ndarray, c: np.ndarray, penalty: float) -> np.ndarray:
+    """Ridge solutions of ``n`` entities' factors from their observed cells."""
+    rank = b.shape[1]
+    r, j = np.nonzero(~np.isnan(x))
+    sums = _sums(e[r], _products(b[t[r]] * c[j], x[r, j]), n)
+    return np.linalg.solve(sums[:, : rank * rank].reshape(n, rank, rank) + penalty * np.eye(rank), sums[:, rank * rank :, None])[..., 0]
 
 
 def complete_tensor(
@@ -47,18 +58,13 @@ def complete_tensor(
     rng = np.random.default_rng(seed)
     b = rng.normal(0, 0.5, (len(periods), rank)) + 1.0 / rank
     c = rng.normal(0, 0.5, (len(columns), rank)) + 1.0 / rank
-    slot = {p: i for i, p in enumerate(periods)}
     for turn in range(rounds):
         old = np.concatenate([b.ravel(), c.ravel()])
         for mode in ("period", "indicator"):
-            grams = _normal_equations(packed, mode, b, c, slot, penalty)
             target = b if mode == "period" else c
-            solved = {}
-            for row in grams.toLocalIterator():
-                solved.setdefault(row["k"], {})[row["i"]] = row["s"]
-            for k, cells in solved.items():
-                flat = np.array([cells[i] for i in range(rank * rank + rank)])
-                g, y = flat[: rank * rank].reshape(rank, rank), flat[rank * rank :]
+            sums = _normal_equations(packed, mode, b, c, periods, penalty)
+            for k in range(len(sums)):
+                g, y = sums[k, : rank * rank].reshape(rank, rank), sums[k, rank * rank :]
                 target[k] = np.linalg.solve(g + penalty * np.eye(rank), y)
         new = np.concatenate([b.ravel(), c.ravel()])
         change = np.linalg.norm(new - old) / max(np.linalg.norm(old), 1e-12)
@@ -67,15 +73,15 @@ def complete_tensor(
 
     key = next(f for f in df.schema.fields if f.name == ENTITY)
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for entity, rows in zip(pdf[ENTITY], pdf["rows"]):
-                x, t, p = _unpack(rows, slot)
-                a = _entity_factor(x, t, b, c, penalty)
-                yield pd.DataFrame({ENTITY: entity, PERIOD: p, "fit": list((a * b[t]) @ c.T)})
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, p, x, t, e in _pieces(batches, periods):
+            a = _entity_factors(x, t, e, batch.num_rows, b, c, penalty)
+            fit = (a[e] * b[t]) @ c.T
+            fit = pa.ListArray.from_arrays(np.arange(0, fit.size + 1, len(c), np.int32), pa.array(fit.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(ENTITY).take(pa.array(e)), p, fit], names=[ENTITY, PERIOD, "fit"])
 
-    schema = T.StructType([key, T.StructField(PERIOD, T.IntegerType()), T.StructField("fit", T.ArrayType(T.DoubleType()))])
-    fits = packed.mapInPandas(fill, schema)
+    schema = T.StructType([key, df.schema[PERIOD], T.StructField("fit", T.ArrayType(T.DoubleType()))])
+    fits = packed.mapInArrow(fill, schema)
     joined = base.join(fits, [ENTITY, PERIOD], "left")
     filled = {
         col: F.coalesce(F.col(col), F.col("fit")[i] * scale[col] + F.col(f"_m_{col}")) for i, col in enumerate(columns)
@@ -84,30 +90,36 @@ def complete_tensor(
     return out if change_as is None else out.withColumn(change_as, F.lit(float(change)))
 
 
-def _unpack(rows, slot) -> tuple[np.ndarray, np.ndarray, list]:
-    periods = [r[PERIOD] for r in rows]
-    x = np.array([[np.nan if v is None else v for v in r["v"]] for r in rows], dtype=float)
-    return x, np.array([slot[p] for p in periods]), periods
-
-
-def _normal_equations(packed: DataFrame, mode: str, b: np.ndarray, c: np.ndarray, slot: dict, penalty: float) -> DataFrame:
-    """``(k, i, s)``: sums of the normal equations of every period or indicator."""
-    rank = b.shape[1]
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = len(b) if mode == "period" else len(c)
-        sums = np.zeros((size, rank * rank + rank))
-        for pdf in batches:
-            for rows in pdf["rows"]:
-                x, t, _ = _unpack(rows, slot)
-                r, j = np.nonzero(~np.isnan(x))
-                if not len(r):
-                    continue
-                a = _entity_factor(x, t, b, c, penalty)
-                z = a * (c[j] if mode == "period" else b[t[r]])
-                cell = np.column_stack([(z[:, :, None] * z[:, None, :]).reshape(len(z), -1), z * x[r, j][:, None]])
-                np.add.at(sums, t[r] if mode == "period" else j, cell)
-        k, i = np.nonzero(np.ones_like(sums))
-        yield pd.DataFrame({"k": k.astype("int32"), "i": i.astype("int32"), "s": sums.ravel()})
-
-    return packed.mapInPandas(partial, "k int, i int, s double").groupBy("k", "i").agg(F.sum("s").alias("s"))
+def _pieces(batches: Iterator[pa.RecordBatch], periods: list, most: int = 1000) -> Iterator[tuple]:
+    """``(batch, period, x, t, e)`` for ``most`` entities at a time: a row of ``x`` for each of their rows, its period,
+    the period's place and the entity's place in the batch."""
+    known = np.array([p for p in periods if p is not None])
+    for whole in batches:
+        for start in range(0, whole.num_rows, most):
+            batch = whole.slice(start, most)
+            rows = batch.column("rows")
+            p, v = rows.flatten().flatten()
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1).astype(float)
+            missing = np.asarray(p.is_null())
+            t = np.searchsorted(known, p.fill_null(0).to_numpy()) + len(periods) - len(known)
+            t = np.where(missing, 0, t)  # the null period is the first
+            yield batch, p, x, t, np.repeat(np.arange(batch.num_rows), rows.value_lengths().to_numpy())
+
+
+def _normal_equations(packed: DataFrame, mode: str, b: np.ndarray, c: np.ndarray, periods: list, penalty: float) -> np.ndarray:
+    """Sums of the normal equations of every period or indicator, a row each. Each task sends its sums as one value, so a pass is one stage."""
+    rank, size = b.shape[1], len(b) if mode == "period" else len(c)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, any_ = np.zeros((size, rank * rank + rank)), False
+        for batch, _, x, t, e in _pieces(batches, periods):
+            a = _entity_factors(x, t, e, batch.num_rows, b, c, penalty)
+            r, j = np.nonzero(~np.isnan(x))
+            z = a[e[r]] * (c[j] if mode == "period" else b[t[r]])
+            sums += _sums(t[r] if mode == "period" else j, _products(z, x[r, j]), size)
+            any_ = True
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], names=["s"])
+
+    out = [np.frombuffer(r["s"]).reshape(size, -1) for r in packed.select("rows").mapInArrow(partial, "s binary").collect()]
+    return sum(out) if out else np.zeros((0, rank * rank + rank))
