@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from panelwise.operators.evaluate import known, metric_summary
 from panelwise.operators.linear import covariance, moment_rows, moments
 from panelwise.operators.splits import fold_table
 from panelwise.panel import ENTITY, PERIOD
-from panelwise.session import settle
+from panelwise.session import settle, together
 
 KEYS = (ENTITY, PERIOD, "component")
 
@@ -34,21 +35,22 @@ def out_of_fold(
     min_train: int = 3, max_folds: int = 3, period: str = PERIOD,
 ) -> DataFrame:
     """``(fold, keys.., component, y, model, yhat)`` of every model, component and
-    walk-forward fold. ``targets``: component -> target column. Rows are tagged once."""
+    walk-forward fold. ``targets``: component -> target column. Rows are tagged once; fits run several at a time."""
     folds = [tuple(r) for r in fold_table(df, period, min_train, max_folds).orderBy("fold").collect()]
-    out = None
-    for fold, at in folds:
-        for component, y in targets.items():
-            known_y = F.col(y).isNotNull()
-            train = df.where((F.col(period) < at) & known_y)
-            validate = df.where((F.col(period) == at) & known_y)
-            for name, fit in fits.items():
-                rows = fit(train, x, y).predict(validate).select(
-                    F.lit(fold).alias("fold"), *keys, F.lit(component).alias("component"), F.col(y).alias("y"),
-                    F.lit(name).alias("model"), "yhat",
-                )
-                out = rows if out is None else out.unionByName(rows)
-    return out
+
+    def forecast(fold: int, at: int, component: str, name: str) -> DataFrame:
+        y = targets[component]
+        known_y = F.col(y).isNotNull()
+        train = df.where((F.col(period) < at) & known_y)
+        validate = df.where((F.col(period) == at) & known_y)
+        return fits[name](train, x, y).predict(validate).select(
+            F.lit(fold).alias("fold"), *keys, F.lit(component).alias("component"), F.col(y).alias("y"),
+            F.lit(name).alias("model"), "yhat",
+        )
+
+    tasks = [partial(forecast, fold, at, c, name) for fold, at in folds for c in targets for name in fits]
+    parts = together(df.sparkSession, tasks)
+    return reduce(DataFrame.unionByName, parts) if parts else None
 
 
 def extend_residuals(primary: DataFrame, secondary: DataFrame, keys: Sequence[str]) -> DataFrame:

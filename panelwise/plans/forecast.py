@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -18,10 +19,10 @@ from panelwise.operators import intervals as I
 from panelwise.operators import stacking as S
 from panelwise.operators.critic import critic_matrix
 from panelwise.operators.missing import fill_with_means_so_far
-from panelwise.operators.models import MODELS, Fitted
+from panelwise.operators.models import MODELS, Fitted, mean_importance
 from panelwise.operators.passes import with_stats
 from panelwise.panel import ENTITY, PERIOD, to_long
-from panelwise.session import settle
+from panelwise.session import settle, together
 
 KEYS = [ENTITY, PERIOD, "component"]
 MODES = ("full", "features_only", "fit_only", "evaluate_only")
@@ -77,21 +78,19 @@ def fit_stage(
 def predict_stage(
     features: DataFrame, names: Sequence[str], columns: Sequence[str], fits: Mapping[str, Callable[..., Fitted]]
 ) -> tuple[DataFrame, dict[str, float]]:
-    """Refit on all rows with a target; predict the period after the last one."""
+    """Refit on all rows with a target; predict the period after the last one. Fits run several at a time."""
     last = features.agg(F.max(PERIOD)).first()[0]
-    out, parts = None, []
-    for c in columns:
-        for name, fit in fits.items():
-            model = fit(features.where(F.col(f"y_{c}").isNotNull()), names, f"y_{c}")
-            parts.append(model.importance)
-            rows = model.predict(features.where(F.col(PERIOD) == last)).select(
-                ENTITY, (F.col(PERIOD) + 1).alias(PERIOD), F.lit(c).alias("component"),
-                F.lit(None).cast("double").alias("y"), F.lit(name).alias("model"), "yhat",
-            )
-            out = rows if out is None else out.unionByName(rows)
-    from panelwise.operators.models import mean_importance
-
-    return settle(out), mean_importance(parts)
+    each = [(c, name) for c in columns for name in fits]
+    refit = lambda c, name: fits[name](features.where(F.col(f"y_{c}").isNotNull()), names, f"y_{c}")
+    fitted = together(features.sparkSession, [partial(refit, *of) for of in each])
+    rows = [
+        model.predict(features.where(F.col(PERIOD) == last)).select(
+            ENTITY, (F.col(PERIOD) + 1).alias(PERIOD), F.lit(c).alias("component"),
+            F.lit(None).cast("double").alias("y"), F.lit(name).alias("model"), "yhat",
+        )
+        for (c, name), model in zip(each, fitted, strict=True)
+    ]
+    return settle(reduce(DataFrame.unionByName, rows)), mean_importance([model.importance for model in fitted])
 
 
 def run(

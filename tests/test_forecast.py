@@ -1,5 +1,7 @@
 """Metrics, splits, intervals, models, stacking and the streaming updates."""
 
+from threading import Barrier
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +137,21 @@ def test_bootstrap_interval_holds_the_metric(forecasts):
     assert row["low"] < mae < row["high"]
 
 
+def test_fits_of_a_run_are_under_way_together(made):
+    """A fit that waits for another one ends only if both run at a time."""
+    gate = Barrier(2, timeout=20)
+
+    def waiting(df, x, y):
+        gate.wait()
+        return M.Fitted("waiting", lambda new: new.withColumn("yhat", F.lit(0.5)), {"a": 1.0})
+
+    rows = made.withColumn("y_k", F.col("y"))
+    out = T.out_of_fold(rows, {"one": waiting, "two": waiting}, ["a"], {"k": "y_k"}, ["entity", "period"], max_folds=2)
+    assert {(r["fold"], r["model"], r["count"]) for r in out.groupBy("fold", "model").count().collect()} == {(f, m, 40) for f in (0, 1) for m in ("one", "two")}
+    refitted, importance = Q.predict_stage(rows, ["a"], ["k"], {"one": waiting, "two": waiting})
+    assert refitted.count() == 80 and importance == {"a": 1.0}
+
+
 def test_forecast_run(spark):
     rows = [(e, p, float((e * 3 + p * 2) % 11) / 10 + e / 20, float(e) / 20) for e in range(20) for p in range(8)]
     df = spark.createDataFrame(rows, "entity int, period int, K1 double, K2 double")
