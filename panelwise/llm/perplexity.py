@@ -1,19 +1,24 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of character n-grams.
 
-Characters fall into 64 classes (a closed alphabet), so a model of order n has at most 64 ** n n-grams and its size is
-bounded whatever the corpus. Counts come from all trusted text.
+The alphabet is open: every code point is a character of its own, so the tables of n-grams grow with the trusted text. They
+are Spark tables, and what texts ask of them is joined by n-gram. Characters that trusted text never has share what the
+first order leaves to them by 64 classes: a model of order 1 over the classes says how much of it each class gets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from .common import numbered, renamed, settle, slices
+from panelwise.session import settle_by
+
+from .common import numbered, renamed, settle, slices, small_batches
 
 CLASSES = 64
 ORDER = 4
@@ -23,12 +28,16 @@ LETTERS = "éèêáàâäöüßñíóúç"
 SIGNS = "\n.,!?|*#$%&:;"
 #: Perplexities are ranked in cells of this width of their logarithm.
 CELL = 0.001
+#: Edge of a text among code points, and the bits that hold any of them; a context of three is one long.
+EDGE, BITS = 0x110000, 21
+#: Bytes of text in a block, which asks for each of its n-grams once, and in a slice of it that is coded at a time.
+BLOCK, SLICE = 8 << 20, 1 << 20
 
 
 def classes() -> np.ndarray:
     """Class of every code point: 0 edge of a text, 1 blank, 2-27 a-z, 28 A-Z, 29 other capitals of LETTERS, 30-44
     LETTERS, 45 digits, 46-58 SIGNS, 59 other ASCII, 60-63 the rest by code point."""
-    out = (60 + np.arange(0x110000) % 4).astype(np.uint32)
+    out = (60 + np.arange(EDGE + 1) % 4).astype(np.uint32)
     out[:128] = 59
     out[ord(" ")] = 1
     for i in range(26):
@@ -40,31 +49,72 @@ def classes() -> np.ndarray:
     out[ord("0") : ord("9") + 1] = 45
     for i, c in enumerate(SIGNS):
         out[ord(c)] = 46 + i
+    out[EDGE] = 0
     return out
 
 
 TABLE = classes()
 
 
-def keys(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram that ends at each character, end of each text in them); a text ends with an edge and begins after edges."""
+def sequence(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points of all texts, each after order - 1 edges and before one; places of its characters and of the edge after
+    them; end of each text in these places)."""
     edge = "\x00" * (order - 1)
     joined = "".join(edge + t + "\x00" for t in texts)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = TABLE[points]
+    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     starts = np.cumsum(lengths + order - 1) - lengths
-    edges = starts[:, None] - 1 - np.arange(order - 1)
-    codes[edges] = 0
-    codes[starts + lengths - 1] = 0
+    points[starts[:, None] - 1 - np.arange(order - 1)] = EDGE
+    points[starts + lengths - 1] = EDGE
+    ends = np.cumsum(lengths)
+    return points, np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0), ends
+
+
+def keys(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram of classes that ends at each character, end of each text in them); a text ends with an edge and begins after
+    edges."""
+    points, places, ends = sequence(texts, order)
+    codes = TABLE[points]
     gram = np.zeros(len(codes), np.uint32)
     for back in range(order - 1, -1, -1):
         gram[order - 1 :] = (gram[order - 1 :] << np.uint32(6)) | codes[order - 1 - back : len(codes) - back]
-    ends = np.cumsum(lengths)
-    places = np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
     return gram[places], ends
 
 
+def unique(context: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(contexts and characters of the different n-grams in order of appearance, number of each n-gram among these)."""
+    before = pa.array(context).dictionary_encode()
+    both = pa.array((np.asarray(before.indices).astype(np.int64) << BITS) | last).dictionary_encode()
+    found = np.asarray(both.dictionary)
+    return np.asarray(before.dictionary)[found >> BITS], found & ((1 << BITS) - 1), np.asarray(both.indices)
+
+
+def grams(texts: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(contexts and characters of the different n-grams of all texts; for each run of texts the number, among these, of the
+    one that ends at each character, and each text's end in the run). A context holds the order - 1 code points before."""
+    contexts, lasts, runs, first = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], 0
+    while first < len(texts):
+        stop, size = first + 1, len(texts[first])
+        while stop < len(texts) and (size := size + len(texts[stop])) <= SLICE:
+            stop += 1
+        points, places, ends = sequence(texts[first:stop], order)
+        codes = points.astype(np.int64)
+        context = np.zeros(len(codes), np.int64)
+        for back in range(order - 1, 0, -1):
+            context[order - 1 :] = (context[order - 1 :] << BITS) | codes[order - 1 - back : len(codes) - back]
+        context, last, number = unique(context[places], codes[places])
+        contexts.append(context)
+        lasts.append(last)
+        runs.append((number, ends))
+        first = stop
+    context, last, among = unique(np.concatenate(contexts), np.concatenate(lasts))
+    start = 0
+    for i, (number, ends) in enumerate(runs):
+        runs[i] = among[start : start + len(lasts[i + 1])][number], ends
+        start += len(lasts[i + 1])
+    return context, last, runs
+
+
 def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, c) over all texts: each task adds up its texts, then counts meet by n-gram."""
 
@@ -152,8 +202,13 @@ def _value(keys_: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: n
 
 
 def train(trusted: DataFrame, order: int = ORDER) -> Model:
-    """The model of all trusted texts; its rows, at most 2 * 64 ** n for an order n, are what the driver holds."""
-    rows = kneser_ney(count_grams(trusted, order), order).toPandas()
+    """The model of the classes of all trusted texts."""
+    return model_of(count_grams(trusted, order), order)
+
+
+def model_of(counts: DataFrame, order: int) -> Model:
+    """The model of n-grams of classes (gram, c); its rows, at most 2 * 64 ** n for an order n, are what the driver holds."""
+    rows = kneser_ney(counts, order).toPandas()
     out = {}
     for n in range(1, order + 1):
         own = rows[rows["n"] == n].sort_values("gram")
@@ -162,22 +217,163 @@ def train(trusted: DataFrame, order: int = ORDER) -> Model:
     return Model(out, order)
 
 
-def perplexities(docs: DataFrame, model: Model, columns: list[str], text: str = "text") -> DataFrame:
-    """``columns`` and ``log_perplexity`` (mean negative log-probability of a character and the end) of every text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(*dict.fromkeys((*columns, text)))
-    schema = kept.select(*columns).withColumn("log_perplexity", F.lit(0.0)).schema
+@dataclass(frozen=True)
+class Grams:
+    """Counts of the trusted text's n-grams (context, last, c) by order, discounts of counts 1, 2 and more, and what a character
+    that it never has gets of the mass that the first order leaves, by class."""
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, 2 << 20):
-            found, ends = keys([t or "" for t in batch.column(text).to_pylist()], shared.value.order)
-            coded = pa.array(found).dictionary_encode()  # each n-gram of the slice is looked up once
-            logs = shared.value.log_p(np.asarray(coded.dictionary).astype(np.int64))
-            sums = np.add.reduceat(logs[np.asarray(coded.indices)], np.concatenate([[0], ends[:-1]]), dtype=np.float64)
-            mean = -sums / np.diff(ends, prepend=0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in columns], pa.array(mean)], names=[*columns, "log_perplexity"])
+    tables: dict[int, DataFrame]
+    off: dict[int, list[float]]
+    base: np.ndarray
 
-    return kept.mapInArrow(score, schema)
+
+def kept(n: int) -> int:
+    """Bits of the context of an n-gram of order n."""
+    return (1 << BITS * (n - 1)) - 1
+
+
+def suffix(n: int) -> Column:
+    return F.col("context").bitwiseAND(F.lit(kept(n))).alias("context")
+
+
+def parts(columns: dict[str, np.ndarray], most: int = 10_000) -> Iterator[pa.RecordBatch]:
+    """Rows of equally long columns, ``most`` at a time."""
+    for i in range(0, len(next(iter(columns.values()))), most):
+        yield pa.RecordBatch.from_pydict({k: pa.array(v[i : i + most]) for k, v in columns.items()})
+
+
+def count(trusted: DataFrame, order: int = ORDER) -> Grams:
+    """Counts of all trusted texts (``texts``: an array of them), sharded by n-gram. Lower orders count the different characters before an n-gram."""
+    if not 1 <= order <= 4:
+        raise ValueError("order must be 1 to 4")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in batch.column("texts").to_pylist():
+                context, last, runs = grams([t or "" for t in texts], order)
+                c = sum((np.bincount(number, minlength=len(last)) for number, _ in runs), np.zeros(len(last), np.int64))
+                yield from parts({"context": context, "last": last, "c": c})
+            pa.default_memory_pool().release_unused()
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(TABLE[np.asarray(batch.column("last"))].astype(np.int64)), batch.column("c")], names=["gram", "c"])
+
+    rows = trusted.select("texts").mapInArrow(found, "context long, last long, c long")
+    with small_batches(rows.sparkSession, 2):  # rows are whole blocks, or slices of them
+        tables = {order: settle(rows.groupBy("context", "last").agg(F.sum("c").alias("c")))}
+    for n in range(order - 1, 0, -1):
+        tables[n] = settle(tables[n + 1].groupBy(suffix(n), "last").agg(F.count("*").alias("c")))
+    off = {}
+    for n, table in tables.items():
+        of = table.groupBy(F.least("c", F.lit(4)).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()
+        off[n] = discounts({r["k"]: float(r["n"]) for r in of})
+    by_class = tables[order].groupBy("last").agg(F.sum("c").alias("c")).mapInArrow(classed, "gram long, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    shares = np.exp(model_of(by_class, 1).log_p(np.arange(CLASSES)))
+    return Grams(tables, off, shares / np.bincount(TABLE, minlength=CLASSES))
+
+
+def log_probabilities(asked: DataFrame, model: Grams) -> DataFrame:
+    """(context, last, log_p) of different n-grams (context, last): each order's counts are joined by n-gram, its contexts'
+    totals by context, and the order below by suffix."""
+    order, base = max(model.tables), model.base
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = base[TABLE[np.asarray(batch.column("last"))]]
+            yield pa.RecordBatch.from_arrays([batch.column("last"), pa.array(p)], names=["last", "lower"])
+
+    wanted = {order: asked}
+    for n in range(order - 1, 0, -1):
+        wanted[n] = settle(wanted[n + 1].select(suffix(n), "last").distinct())
+    below = wanted[1].select("last").mapInArrow(lowest, "last long, lower double")
+    for n in range(1, order + 1):
+        table, d = model.tables[n], model.off[n]
+        off = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+        sums = table.groupBy("context").agg(F.sum("c").alias("total"), F.sum(off).alias("lost"))
+        if n == 1:
+            rows = wanted[n].join(below, "last")
+        else:
+            rows = wanted[n].withColumn("suffix", suffix(n - 1)).join(below.withColumnRenamed("context", "suffix"), ["suffix", "last"]).drop("suffix")
+        rows = rows.join(table, ["context", "last"], "left").join(sums, "context", "left")
+        p = F.coalesce((F.col("c") - off) / F.col("total"), F.lit(0.0)) + F.coalesce(F.col("lost") / F.col("total"), F.lit(1.0)) * F.col("lower")
+        below = rows.select("context", "last", p.alias("lower"))
+    return below.select("context", "last", F.log("lower").alias("log_p"))
+
+
+def blocks(rows: DataFrame, text: str) -> DataFrame:
+    """(block, doc_id, lang, rows): runs of rows of about BLOCK bytes of text, packed, with arrays of their doc_id and lang."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in slices(batches, text, BLOCK):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+                out.write_batch(batch)
+            one = lambda c: pa.array([batch.column(c).to_pylist()], pa.list_(batch.column(c).type))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array([block]), one("doc_id"), one("lang"), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "doc_id", "lang", "rows"])
+            block += 1
+
+    return settle_by(rows.mapInArrow(pack, "block long, doc_id array<long>, lang array<string>, rows binary"), "block")
+
+
+def unpacked(packed: bytes) -> pa.Table:
+    with pa.ipc.open_stream(packed) as rows:
+        return rows.read_all()
+
+
+def whole_texts(rows: pa.Table, text: str) -> list[str]:
+    return [t or "" for t in rows.column(text).to_pylist()]
+
+
+def trusted_texts(packed: DataFrame, chosen: DataFrame, text: str) -> DataFrame:
+    """(texts) of the rows of each block whose doc_id is ``chosen`` (doc_id) and not held out; about SLICE bytes a row."""
+    ids = packed.select("block", F.posexplode("doc_id").alias("at", "doc_id"))
+    held_out = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(5)) == 0
+    at = settle(ids.filter(~held_out).join(chosen, "doc_id", "left_semi").groupBy("block").agg(F.collect_list("at").alias("at")))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed_, places in zip(batch.column("rows"), batch.column("at"), strict=True):
+                found = unpacked(packed_.as_py()).column(text).combine_chunks().take(places.values)
+                for some in slices(iter([pa.RecordBatch.from_arrays([found], names=["text"])]), "text", SLICE):
+                    yield pa.RecordBatch.from_arrays([pa.array([some.column("text").to_pylist()], pa.list_(pa.string()))], names=["texts"])
+
+    return packed.select("block", "rows").join(at, "block").select("rows", "at").mapInArrow(take, "texts array<string>")
+
+
+def perplexities(packed: DataFrame, model: Grams, text: str) -> DataFrame:
+    """(block, log_perplexity): mean negative log-probability of a character and the end of every text of each block.
+
+    A block asks once for each of its n-grams; the probabilities come back to it by its number and the n-gram's place
+    among those asked for."""
+    order = max(model.tables)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, packed_ in zip(batch.column("block").to_pylist(), batch.column("rows"), strict=True):
+                context, last, _ = grams(whole_texts(unpacked(packed_.as_py()), text), order)
+                yield from parts({"block": np.full(len(last), block), "at": np.arange(len(last), dtype=np.int32), "context": context, "last": last})
+            pa.default_memory_pool().release_unused()
+
+    def score(own: pa.Table, answers: pa.Table) -> pa.Table:
+        out = []
+        for packed_ in own.column("rows"):
+            _, last, runs = grams(whole_texts(unpacked(packed_.as_py()), text), order)
+            log_p = np.full(len(last), np.nan)
+            log_p[answers.column("at").to_numpy()] = answers.column("log_p").to_numpy()
+            if np.isnan(log_p).any():
+                raise RuntimeError("n-grams of a block got no probability")
+            sums = [np.add.reduceat(log_p[number], np.concatenate([[0], ends[:-1]])) / -np.diff(ends, prepend=0) for number, ends in runs]
+            out.append(np.concatenate(sums).tolist())
+        pa.default_memory_pool().release_unused()
+        return pa.table({"block": own.column("block"), "log_perplexity": pa.array(out, pa.list_(pa.float64()))})
+
+    with small_batches(packed.sparkSession, 2):  # rows are whole blocks
+        asks = settle(packed.select("block", "rows").mapInArrow(ask, "block long, at int, context long, last long"))
+    asked = settle(asks.select("context", "last").distinct())
+    answers = asks.join(log_probabilities(asked, model), ["context", "last"]).select("block", "at", "log_p")
+    return packed.select("block", "rows").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "block long, log_perplexity array<double>")
 
 
 def limits(scores: DataFrame, factor: float, least: int) -> dict[str | None, float]:
@@ -196,14 +392,19 @@ def limits(scores: DataFrame, factor: float, least: int) -> dict[str | None, flo
     return {None if r["every"] else r["lang"]: (r["half"] + factor * (r["most"] - r["half"]) + 1) * CELL for r in rows if r["every"] or r["all"] >= least}
 
 
-def fit(docs: DataFrame, labels: DataFrame, factor: float = 3.0, least: int = 30, order: int = ORDER) -> tuple[Model, DataFrame, dict]:
-    """(model, scores of all documents, limits); see :func:`judge`."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    held_out = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(5)) == 0
+def fit(rows: DataFrame, text: str, labels: DataFrame, factor: float = 3.0, least: int = 30, order: int = ORDER) -> tuple[DataFrame, DataFrame, dict]:
+    """(blocks of all rows, log_perplexity of each block's rows, limits); see :func:`judge`."""
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    model = train(rows.filter(~held_out).join(good.hint("merge"), "doc_id", "left_semi"), order)
-    scores = settle(perplexities(rows, model, ["doc_id", "lang"]))
-    return model, scores, limits(scores.filter(held_out).join(good, "doc_id", "left_semi"), factor, least)
+    packed = blocks(rows, text)
+    model = count(trusted_texts(packed, good, text), order)
+    scores = settle(perplexities(packed, model, text))
+    held_out = F.pmod(F.xxhash64("doc_id", F.lit(21)), F.lit(5)) == 0
+    return packed, scores, limits(listed(packed, scores).filter(held_out).join(good, "doc_id", "left_semi"), factor, least)
+
+
+def listed(packed: DataFrame, scores: DataFrame) -> DataFrame:
+    """doc_id, lang, log_perplexity of every row."""
+    return packed.select("block", "doc_id", "lang").join(scores, "block").select(F.inline(F.arrays_zip("doc_id", "lang", "log_perplexity")))
 
 
 def decided(scores: DataFrame, at: dict) -> DataFrame:
@@ -221,18 +422,30 @@ def judge(docs: DataFrame, labels: DataFrame, factor: float = 3.0, least: int =
     ``factor`` * (95 % quantile - median). Documents above are rejected. A null language, or one with under ``least``
     such documents, takes the limit of all languages together. Without any trusted document nothing is rejected
     (limit null). A null or empty text is scored by the edge alone. Rows with equal doc_id are judged each for
-    itself. Needs doc_id, text, lang; other columns are ignored, and labels may repeat a doc_id.
+    itself. Needs doc_id, text, lang; other columns are ignored, and labels may repeat a doc_id. ``order`` is 1 to 4.
 
-    Trusted texts are shuffled once, for the join with labels; all texts are read again and scored where they lie.
-    Counts meet by n-gram, one row for each n-gram and task.
+    Texts are written once, as packed blocks in buckets, so that the joins with labels move numbers only and a block's
+    probabilities come to where it lies. Counts meet by n-gram; a block and n-gram that it has are one row.
     """
-    _, scores, at = fit(docs, labels, factor, least, order)
-    return decided(scores, at)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    packed, scores, at = fit(rows, "text", labels, factor, least, order)
+    return decided(listed(packed, scores), at)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that :func:`judge` accepts; texts are scored again where they lie."""
-    model, _, at = fit(docs, labels, **settings)
+    """The rows of ``docs``, with all their columns, that :func:`judge` accepts."""
     rows, names, (lang, text) = numbered(docs, "lang", "text")
-    rows = rows.withColumn("lang", F.col(lang))
-    return renamed(decided(perplexities(rows, model, [*names, "lang"], text), at).filter("accepted"), docs)
+    doc_id = names[[c.lower() for c in docs.columns].index("doc_id")]
+    rows = rows.select(*dict.fromkeys((*names, text)), F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"))
+    packed, scores, at = fit(rows, text, labels, **settings)
+    schema = T.StructType([*rows.select(*names, "lang").schema.fields, T.StructField("log_perplexity", T.DoubleType())])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed_, values in zip(batch.column("rows"), batch.column("log_perplexity"), strict=True):
+                table = unpacked(packed_.as_py()).select([*names, "lang"]).append_column("log_perplexity", values.values)
+                for part in table.combine_chunks().to_batches():
+                    yield from slices(iter([part]), text, SLICE) if text in names else [part]
+
+    found = packed.select("block", "rows").join(scores, "block").select("rows", "log_perplexity").mapInArrow(unpack, schema)
+    return renamed(decided(found, at).filter("accepted"), docs)
