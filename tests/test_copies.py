@@ -50,3 +50,62 @@ def test_factors_of_many_entities_at_once():
         z = b[t[own][r]] * c[j]
         want = np.linalg.solve(z.T @ z + 0.1 * np.eye(3), z.T @ x[own][r, j])
         assert got[entity] == pytest.approx(want)
+
+
+def odd_panel(spark):
+    """Many entities of two patterns, some with gaps of their own; a row without a period, one without an entity, one that
+    comes twice, one without cells."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for e in range(80):
+        for p in range(4):
+            v = [float(x) for x in rng.normal(size=3) + e % 7 - p]
+            rows.append((e, p, *[None if e % 3 == 1 and p == 2 and k or e > 70 and rng.random() < 0.4 else x for k, x in enumerate(v)]))
+    rows += [(None, 1, 2.0, None, 1.0), (3, None, 0.5, 1.5, None), rows[5], (90, 2, None, None, None)]
+    return spark.createDataFrame(rows, "entity int, period int, a double, b double, c double").repartition(3), rows
+
+
+def plain_rounds(rows, rounds, rank=2, penalty=0.1):
+    """b and c after so many rounds over all entities and cells, one after another."""
+    x = np.array([[np.nan if v is None else v for v in r[2:]] for r in rows])
+    x = (x - np.nanmean(x, axis=0)) / np.nanstd(x, axis=0)
+    t = np.array([0 if r[1] is None else r[1] + 1 for r in rows])
+    e = np.unique([-1 if r[0] is None else r[0] for r in rows], return_inverse=True)[1]
+    rng = np.random.default_rng(7)
+    b, c = rng.normal(0, 0.5, (5, rank)) + 1.0 / rank, rng.normal(0, 0.5, (3, rank)) + 1.0 / rank
+    r, j = np.nonzero(~np.isnan(x))
+    fit = lambda z, y: np.linalg.solve(z.T @ z + penalty * np.eye(rank), z.T @ y)
+    for _ in range(rounds):
+        for target, other, own, its in ((b, c, t[r], j), (c, b, j, t[r])):
+            a = np.stack([fit((b[t[r]] * c[j])[e[r] == k], x[r, j][e[r] == k]) for k in range(e.max() + 1)])
+            for k in range(len(target)):
+                target[k] = fit((a[e[r]] * other[its])[own == k], x[r, j][own == k])
+    return b, c
+
+
+@pytest.mark.parametrize("numbers", [None, 0])
+def test_rounds_over_alike_entities_are_rounds_over_all(spark, monkeypatch, numbers):
+    df, rows = odd_panel(spark)
+    met = []
+    name = "_held_sums" if numbers is None else "_normal_equations"
+    made = getattr(tensor, name)
+    monkeypatch.setattr(tensor, name, lambda *settings: met.append((settings[-3].copy(), settings[-2].copy())) or made(*settings))
+    out = tensor.complete_tensor(df, ["a", "b", "c"], rank=2, rounds=5, tolerance=0.0, numbers=numbers)
+    for k in (1, 4):
+        b, c = plain_rounds(rows, k)
+        assert np.allclose(met[2 * k][0], b, atol=1e-9) and np.allclose(met[2 * k][1], c, atol=1e-9)
+    assert out.filter("a is null and entity is not null and period is not null").count() == 0
+
+
+def test_rounds_need_no_jobs(spark):
+    """Entities are read before the rounds; these run over as many as have cells of their own."""
+    def jobs(rounds):
+        spark.sparkContext.setJobGroup(group := f"tensor-{rounds}", "")
+        tensor.complete_tensor(odd_panel(spark)[0], ["a", "b", "c"], rank=2, rounds=rounds, tolerance=0.0)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(40) == jobs(1)
+    places = np.array([0, 1], np.int32).tobytes()
+    x = np.random.default_rng(2).normal(size=(300, 2))
+    some = [np.frombuffer(v) for batch in tensor._condensed((places, row[None]) for row in x) for v in batch.column("x").to_pylist()]
+    assert len(some) == 2 and np.allclose(np.stack(some).T @ np.stack(some), x.T @ x)
